@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_benchmark_decontamination
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
