@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontamination import op2_benchmark_decontamination
+from .line_dedup import op3_line_dedup
 from .simhash import op4_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 
