@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op2_benchmark_decontamination
+from .bpe import op6_bpe
 from .line_dedup import op3_line_dedup
 from .simhash import op4_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
