@@ -14,8 +14,8 @@ overlaps of window - 1 words. The graph is never written edge by edge:
    of each piece, the piece is opened into its edges, which are joined with their first source.
 5. Spans of a document whose source coordinates continue one another are merged to one span.
 
-A hot anchor, piece or edge is aggregated before it is shuffled, and its occurrences meet the one row
-of the aggregate in plain sort-merge joins that AQE can split. Nothing is collected.
+A hot anchor, piece or edge is aggregated before it is shuffled. The aggregates are stored, so that its
+occurrences meet the one row of it in plain joins of two exchanges, which AQE can split. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def _keep(window: int):
     """Removes the words of the spans, and merges spans whose sources continue one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             n_words, n_removed, kept, merged = [], [], [], []
             for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or "").encode().split()
@@ -122,9 +122,9 @@ def repeated_pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     rows = docs.where("id IS NOT NULL")
     pieces = stored(rows.mapInArrow(_pieces(window, anchor), _PIECES))
     anchors = pieces.groupBy("anchor").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), (F.min("piece") != F.max("piece")).alias("branches")).where("first_id < last_id").select("anchor", "branches")
-    shared = stored(pieces.join(anchors, "anchor"))
+    shared = stored(pieces.join(stored(anchors), "anchor"))
     release(docs.sparkSession)
-    first = shared.groupBy("anchor", "piece").agg(F.min(F.struct("id", "start")).alias("source"))
+    first = stored(shared.groupBy("anchor", "piece").agg(F.min(F.struct("id", "start")).alias("source")))
     placed = shared.join(first, ["anchor", "piece"])
     whole = placed.where("id > source.id").select("id", "text_key", "start", "edges", F.col("source.id").alias("source_id"), F.col("source.start").alias("source_start"))
     opened = stored(placed.where("branches AND id = source.id").groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "edges")).alias("pieces")))
@@ -132,7 +132,7 @@ def repeated_pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     edges = stored(wanted.join(opened, ["id", "text_key"]).select("id", "text_key", "text", "pieces").mapInArrow(_edges(window, anchor), "anchor long, edge long, id long, text_key long, start int"))
     release(docs.sparkSession)
     sources = edges.groupBy("anchor", "edge").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last_id")).where("source.id < last_id")
-    single = edges.join(sources, ["anchor", "edge"]).where("id > source.id").select("id", "text_key", "start", F.lit(1).alias("edges"), F.col("source.id").alias("source_id"), F.col("source.start").alias("source_start"))
+    single = edges.join(stored(sources), ["anchor", "edge"]).where("id > source.id").select("id", "text_key", "start", F.lit(1).alias("edges"), F.col("source.id").alias("source_id"), F.col("source.start").alias("source_start"))
     return whole.unionByName(single)
 
 
