@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op2_benchmark_decontamination
 from .bpe import op6_bpe
 from .line_dedup import op3_line_dedup
+from .quality_classifier import op9_quality_classifier
 from .simhash import op4_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_bpe": op6_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
