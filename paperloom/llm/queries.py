@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import op5_chat_formatting
 from .decontamination import op2_benchmark_decontamination
 from .bpe import op6_bpe
 from .line_dedup import op3_line_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_bpe": op6_bpe,
     "op9_quality_classifier": op9_quality_classifier,
 }
