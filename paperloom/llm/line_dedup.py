@@ -5,16 +5,16 @@ similarity t or more then share a word within the first n - ceil(t * n) + 1 of e
 
 1. A scan counts all words in a table of 2**20 bins, added up over the tasks: its size doesn't depend on the input.
    Any fixed order makes the filter exact; words that share a bin only make it a little less sharp.
-2. A second scan writes for each line the key of its word set, and its prefix words with their places.
-3. Prefix rows of different sets meet under their word, in a plain sort-merge join that AQE can split where a word is
-   hot; length and positional filters are in the join's condition.
-4. Prefixes are one word longer than that, so that a pair has to share two words; pairs are counted, and the others go.
-   (Of the two prefixes take the one whose last word is rarer: all words of it that are common are in both prefixes.)
-5. The words of the sets that are left are fetched (a bitmap of fixed size keeps other texts out of the shuffle), and
-   the similarity is verified in integers.
-6. A line goes if an earlier line of the corpus, by document id and line number, has the same words or is similar.
-
-Copies of a line are one row per word set from step 3 on, so hot lines cost no pairs.
+2. A second scan writes for each line the key of its word set, and deals its prefix words out by word. Rows of one batch
+   and part travel as one packed record, so that the shuffle costs bytes and hardly any rows. The number of parts follows
+   the number of words, so a part has a bounded share of the rows.
+3. In each part, rows with the same word meet in numpy, in order of length: length filter, positional filter, and a parity
+   filter (a 64-bit parity vector of each set: differing bits can't outnumber differing words). Copies of one word set
+   count once. Each line keeps its BEST most promising earlier lines for each word, so a dense group makes no square.
+4. The words of the lines in question are fetched (a bitmap of fixed size keeps other texts out of the shuffle), and the
+   similarity is verified in integers: first with the most promising earlier line, then, where that fails, with the others;
+   lines that fail with all of a list that was cut at BEST are compared with all their candidates in one more pass.
+5. A line goes if an earlier line of the corpus, by document id and line number, has the same words or is similar.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ from ._spark import key_filter, maybe_in, release, stored
 from ._text import SPACE_WORD, blocks, column_bytes, mix, ranges, word_bounds, word_hashes
 
 RARITY_BITS = 20
-#: Words by which prefixes are longer than need be, so that candidates must share as many more.
-EXTRA = 1
+_WANTED_BITS = 24
 _CHUNK = 1 << 14
 _U = np.uint64
 
@@ -105,44 +104,170 @@ class _Lines:
         return mix(a).view(np.int64), (mix(b) >> _U(33)).astype(np.int32)
 
 
-_LINES = "key long, key2 int, n int, id long, text_key long, line int, word long, place int"
+_LINES = "key long, key2 int, n int, id long, text_key long, line int"
+#: A prefix word of a line, as it travels: the word, its line's key, parity vector, size and first place, and its own place.
+_ROW = [("word", np.int64), ("key", np.int64), ("parity", np.uint64), ("n", np.int32), ("place", np.int32), ("id", np.int64), ("line", np.int32)]
+#: Rows that a part is made for, pairs that are looked at together, and the most candidates that a line keeps for a word.
+_PART, _PAIRS, BEST = 1 << 17, 1 << 21, 8
 
 
-def _scan(rarity, p: int, q: int):
-    """Rows of lines (word null), of their prefix words, and one of each document (n: its lines; key null)."""
+def _pack(rows: dict[str, np.ndarray], a: int, b: int) -> bytes:
+    return b"".join(np.ascontiguousarray(rows[name][a:b], kind).tobytes() for name, kind in _ROW)
+
+
+def _unpack(packed: list[bytes]) -> dict[str, np.ndarray]:
+    width, out = sum(np.dtype(kind).itemsize for _, kind in _ROW), {name: [] for name, _ in _ROW}
+    for x in packed:
+        n, at = len(x) // width, 0
+        for name, kind in _ROW:
+            out[name].append(np.frombuffer(x, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {name: np.concatenate(v) for name, v in out.items()}
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lines, and one of each document (n: its lines; key null)."""
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(2))
+        ids, keys, void = batch.column(0), batch.column(1).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        for first, last, d, o in blocks(data, offsets):
+            lines = _Lines(d, o, None)
+            key, key2 = lines.keys()
+            own = first + lines.owner
+            use = np.flatnonzero(known[own])
+            docs = np.arange(first, last)
+            total = (lines.breaks[1:] - lines.breaks[:-1] + 1) * ~void[first:last]
+            columns = [
+                pa.array(np.append(key[use], np.zeros(len(docs), np.int64)), mask=np.append(np.zeros(len(use), bool), np.ones(len(docs), bool))),
+                pa.array(np.append(key2[use], np.zeros(len(docs), np.int32))),
+                pa.array(np.append(lines.n[use], total).astype(np.int32)),
+                pa.array(np.append(ids[own[use]], ids[docs]), mask=np.append(np.zeros(len(use), bool), ~known[docs])),
+                pa.array(np.append(keys[own[use]], keys[docs])),
+                pa.array(np.append(lines.number[use], np.zeros(len(docs))).astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "key2", "n", "id", "text_key", "line"])
+
+
+def _deal(rarity, p: int, q: int, bits: int, only):
+    """The prefix words of all lines, packed by part; only: those in this bitmap of words."""
+
+    def packed(dealt: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        rows = {name: np.concatenate([x[name] for x in dealt]) for name in ["part", *[name for name, _ in _ROW]]}
+        dealt.clear()
+        order = np.argsort(rows["part"], kind="stable")
+        rows = {name: v[order] for name, v in rows.items()}
+        bounds = np.flatnonzero(np.append(True, rows["part"][1:] != rows["part"][:-1]))
+        out = [_pack(rows, a, b) for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(rows["part"][bounds], pa.int32()), pa.array(out, pa.binary())], names=["part", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rarity.value
+        table, dealt, size = rarity.value, [], 0
         for batch in batches:
-            data, offsets = column_bytes(batch.column(2))
-            ids, keys, void = batch.column(0), batch.column(1).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for first, last, d, o in blocks(data, offsets):
+            data, offsets = column_bytes(batch.column(1))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy()
+            for first, _, d, o in blocks(data, offsets):
                 lines = _Lines(d, o, table)
-                key, key2 = lines.keys()
-                n = lines.n.astype(np.int32)
-                own = first + lines.owner
-                use = known[own]
-                prefix = np.where(use, np.minimum(lines.n, lines.n - -(-p * lines.n // q) + 1 + EXTRA), 0)
-                of = np.repeat(np.arange(len(n)), prefix)
-                at = ranges(lines.starts, prefix)
-                use = np.flatnonzero(use)
-                docs = np.arange(first, last)
-                total = (lines.breaks[1:] - lines.breaks[:-1] + 1) * ~void[first:last]
-                rows, words, whole = len(use), len(of), len(docs)
-                none = np.ones(rows + whole, bool)
-                columns = [
-                    pa.array(np.concatenate([key[use], key[of], np.zeros(whole, np.int64)]), mask=np.arange(rows + words + whole) >= rows + words),
-                    pa.array(np.concatenate([key2[use], key2[of], np.zeros(whole, np.int32)])),
-                    pa.array(np.concatenate([n[use], n[of], total.astype(np.int32)])),
-                    pa.array(np.concatenate([ids[own[use]], np.zeros(words, np.int64), ids[docs]]), mask=np.concatenate([np.zeros(rows, bool), np.ones(words, bool), ~known[docs]])),
-                    pa.array(np.concatenate([keys[own[use]], np.zeros(words, np.int64), keys[docs]])),
-                    pa.array(np.concatenate([lines.number[use], np.zeros(words), np.zeros(whole)]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(rows, np.int64), lines.words[at].view(np.int64), np.zeros(whole, np.int64)]), mask=np.concatenate([none[:rows], np.zeros(words, bool), none[rows:]])),
-                    pa.array(np.concatenate([np.zeros(rows), at - lines.starts[of], np.zeros(whole)]).astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "key2", "n", "id", "text_key", "line", "word", "place"])
+                if not len(lines.starts):
+                    continue
+                key, own = lines.keys()[0], first + lines.owner
+                use = np.flatnonzero(known[own])
+                use = use[np.sort(np.unique(key[use], return_index=True)[1])]  # one of the copies in this block
+                prefix = lines.n[use] - -(-p * lines.n[use] // q) + 1
+                at, of = ranges(lines.starts[use], prefix), np.repeat(use, prefix)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                word = lines.words[at]
+                if only is not None:
+                    here = _in_bitmap(only.value, word)
+                    at, of, place, word = at[here], of[here], place[here], word[here]
+                if not len(at):
+                    continue
+                parity = np.bitwise_xor.reduceat(_U(1) << (mix(lines.words) & _U(63)), lines.starts)
+                part = (word >> _U(64 - bits)).astype(np.int32)
+                dealt.append({"part": part, "word": word, "key": key[of], "parity": parity[of], "n": lines.n[of].astype(np.int32), "place": place.astype(np.int32), "id": ids[own[of]], "line": lines.number[of].astype(np.int32)})
+                size += len(at)
+                if size > _PART:
+                    yield packed(dealt)
+                    size = 0
+        if dealt:
+            yield packed(dealt)
+
+    return run
+
+
+def _in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = values.view(np.uint64) >> _U(64 - _WANTED_BITS)
+    return (bitmap[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8) & 1) > 0
+
+
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """A bitmap of the first bits of a column of 64-bit values: 2 MB, whatever their number."""
+    out = np.zeros(1 << (_WANTED_BITS - 3), np.uint8)
+    bit = F.shiftrightunsigned("value", 64 - _WANTED_BITS)
+    bits = values.select(F.shiftright(bit, 3).alias("at"), F.expr("shiftleft(1, CAST(shiftrightunsigned(value, %d) & 7 AS INT))" % (64 - _WANTED_BITS)).alias("bit"))
+    for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["at"]] = r["bits"]
+    return out
+
+
+def _merged_copies(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The rows with one for each word and word set: that of the earliest line; in the order of word and length."""
+    same = np.lexsort((rows["line"], rows["id"], rows["key"], rows["word"]))
+    word, key = rows["word"][same], rows["key"][same]
+    kept = same[np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))]
+    kept = kept[np.lexsort((rows["n"][kept], rows["word"][kept]))]
+    return {name: v[kept] for name, v in rows.items()}
+
+
+def _candidates(p: int, q: int, wanted):
+    """The most promising earlier lines of each line, for each word of a part, and (with other null) the words at which a
+    list was cut; wanted: all earlier lines, of the lines in this bitmap only."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _merged_copies(_unpack(table["rows"].to_pylist()))
+        n, place, parity, key = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["parity"], rows["key"]
+        when = np.empty(len(n), np.int64)
+        when[np.lexsort((key, rows["line"], rows["id"]))] = np.arange(len(n))
+        meeting = np.cumsum(np.append(0, rows["word"][1:] != rows["word"][:-1])) << 31
+        count = np.searchsorted(meeting | n, meeting | np.minimum(q * n // p, (1 << 31) - 1), "right") - np.arange(len(n)) - 1
+        ends = np.cumsum(count)
+        later, earlier, apart = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _PAIRS, "right")))
+            a = np.repeat(np.arange(first, last), count[first:last])
+            b = ranges(np.arange(first, last) + 1, count[first:last])
+            need = -(-p * (n[a] + n[b]) // (p + q))
+            ok = (place[a] <= n[a] - need) & (place[b] <= n[b] - need)
+            a, b, need = a[ok], b[ok], need[ok]
+            bits = np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64)
+            ok = bits <= n[a] + n[b] - 2 * need
+            a, b, bits = a[ok], b[ok], bits[ok]
+            swap = when[a] < when[b]
+            later.append(np.where(swap, b, a))
+            earlier.append(np.where(swap, a, b))
+            apart.append(bits)
+            first = last
+        later, earlier, apart = np.concatenate(later), np.concatenate(earlier), np.concatenate(apart)
+        if wanted is not None:
+            ok = _in_bitmap(wanted.value, key[later])
+            later, earlier, apart = later[ok], earlier[ok], apart[ok]
+        order = np.lexsort((when[earlier], apart, later))
+        later, earlier, apart = later[order], earlier[order], apart[order]
+        group = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.empty(0, np.int64)
+        size = np.diff(np.append(group, len(later)))
+        nth = np.arange(len(later)) - np.repeat(group, size)
+        cut = later[group[size > BEST]]
+        if wanted is not None:
+            cut = cut[:0]
+        else:
+            ok = nth < BEST
+            later, earlier, apart = later[ok], earlier[ok], apart[ok]
+        other = pa.array(np.append(key[earlier], np.zeros(len(cut), np.int64)), mask=np.append(np.zeros(len(later), bool), np.ones(len(cut), bool)))
+        word = pa.array(np.append(np.zeros(len(later), np.int64), rows["word"][cut]), mask=np.append(np.ones(len(later), bool), np.zeros(len(cut), bool)))
+        return pa.table({"key": np.append(key[later], key[cut]), "other": other, "apart": np.append(apart, np.zeros(len(cut))).astype(np.int32), "word": word})
 
     return run
 
@@ -178,8 +303,8 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Lines that an earlier line matches, and the documents they are in.
 
-    The first result has rows (id, text_key, line): lines, counted from 0, to which an earlier line (smaller id, then text
-    key, then line number) has a Jaccard similarity of `similarity` or more, as sets of words `[^\\x20\\x09-\\x0D]+`. The second
+    The first result has rows (id, text_key, line): lines, counted from 0, to which an earlier line (smaller id, then line
+    number) has a Jaccard similarity of `similarity` or more, as sets of words `[^\\x20\\x09-\\x0D]+`. The second
     has a row (id, text_key, n_lines) for each document. Lines are parted by line feeds and judged on the input.
 
     A null text has no lines, an empty one has one empty line; lines without words match nothing; documents without an id
@@ -191,33 +316,53 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     p, q = t.numerator, t.denominator
     spark = documents.sparkSession
     docs = _keyed(documents, id_col, text_col)
-    rarity = spark.sparkContext.broadcast(word_rarity(documents, text_col))
-    rows = stored(docs.mapInArrow(_scan(rarity, p, q), _LINES))
+    counts = word_rarity(documents, text_col)
+    rarity = spark.sparkContext.broadcast(counts)
+    bits = max(4, int(int(counts.sum()) * (q - p + 1) // (q * _PART)).bit_length())
+    rows = stored(docs.mapInArrow(_scan, _LINES))
     whole = rows.where("key IS NULL").select("id", "text_key", F.col("n").cast("long").alias("n_lines"))
-    lines = rows.where("key IS NOT NULL AND word IS NULL").select("key", "key2", "n", "id", "text_key", "line")
-    prefix = rows.where("word IS NOT NULL").select("word", "key", "key2", "n", "place")
-    a, b = (prefix.select("word", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "key2", "n", "place")]) for s in "ab")
-    need = f"(({p} * (a_n + b_n) + {p + q - 1}) div {p + q})"  # least overlap
-    met = a.join(b, "word").where(
-        f"(a_n < b_n OR (a_n = b_n AND (a_key < b_key OR (a_key = b_key AND a_key2 < b_key2)))) AND {q} * a_n >= {p} * b_n"
-        f" AND a_place <= a_n - {need} + {EXTRA} AND b_place <= b_n - {need} + {EXTRA}"
-    )
-    pairs = met.groupBy("a_key", "a_key2", "a_n", "b_key", "b_key2", "b_n").agg(F.count_distinct("word").alias("shared"))
-    pairs = stored(pairs.where(f"shared >= least({need}, {1 + EXTRA})"))
+    lines = rows.where("key IS NOT NULL")
+
+    def dealt(only) -> DataFrame:
+        return docs.select("id", "text").mapInArrow(_deal(rarity, p, q, bits, only), "part int, rows binary").groupBy("part")
+
+    kind = "key long, other long, apart int, word long"
+    pairs = dealt(None).applyInArrow(_candidates(p, q, None), kind).groupBy("key", "other", "word").agg(F.min("apart").alias("apart"))
+    found = stored(pairs)
+    pairs, cuts = found.where("other IS NOT NULL").select("key", "other", "apart"), found.where("other IS NULL").select("key", "word")
+    release(spark)
+    first = stored(lines.groupBy("key", "key2").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")))
+
+    def alike(tried: DataFrame) -> DataFrame:
+        """key, key2 of lines that are similar to the earlier line of one of their pairs (key, other)."""
+        sides = tried.select("key").union(tried.select("other")).distinct()
+        wanted = stored(sides.join(first, "key").select("key", "key2", "first"))
+        lists = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.line").alias("numbers"))
+        near = maybe_in(docs, key_filter(wanted.select("first.id"), "id"), "id").where("__maybe")
+        found = near.join(lists, "id").select("text", "numbers").mapInArrow(_fetch, "key long, key2 int, words array<long>")
+        sets = found.join(wanted, ["key", "key2"]).groupBy("key", "key2").agg(F.first("words").alias("words"), F.first("first").alias("first"))
+        sets = stored(sets)
+        other = sets.select(F.col("key").alias("other"), F.col("words").alias("other_words"), F.col("first").alias("other_first"))
+        both = tried.select("key", "other").join(sets, "key").join(other, "other").where("other_first < first")
+        overlap = F.size(F.array_intersect("words", "other_words"))
+        return both.where(F.lit(p + q) * overlap >= F.lit(p) * (F.size("words") + F.size("other_words"))).select("key", "key2").distinct()
+
+    best = stored(pairs.groupBy("key").agg(F.min(F.struct("apart", "other")).alias("best")).select("key", F.col("best.other").alias("other")))
+    similar = stored(alike(best))
+    failed = pairs.join(best, ["key", "other"], "left_anti").join(similar, "key", "left_anti")
+    more = stored(alike(stored(failed.select("key", "other"))))
+    similar = similar.union(more)
+    # key alone can stand for two word sets only if 64 bits agree; such sets are judged one by one above
+    open_ = stored(cuts.join(similar, "key", "left_anti"))
+    if not open_.isEmpty():
+        keys, words = (spark.sparkContext.broadcast(_bitmap(open_.select(F.col(c).alias("value")))) for c in ("key", "word"))
+        again = dealt(words).applyInArrow(_candidates(p, q, keys), kind)
+        again = again.join(open_.select("key").distinct(), "key", "left_semi").select("key", "other").distinct()
+        similar = similar.union(stored(alike(stored(again))))
+    known = first.join(similar.distinct().withColumn("similar", F.lit(True)), ["key", "key2"], "left").where("similar OR first < last")
+    known = stored(known.select("key", "key2", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
     release(spark)
-    first = stored(lines.groupBy("key", "key2").agg(F.min(F.struct("id", "text_key", "line")).alias("first"), F.max(F.struct("id", "text_key", "line")).alias("last")))
-    sides = pairs.select(F.col("a_key").alias("key"), F.col("a_key2").alias("key2")).union(pairs.select("b_key", "b_key2")).distinct()
-    wanted = stored(sides.join(first, ["key", "key2"]).select("key", "key2", "first"))
-    lists = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key")).agg(F.collect_set("first.line").alias("numbers"))
-    near = maybe_in(docs, key_filter(wanted.select("first.id", "first.text_key"), "id", "text_key"), "id", "text_key").where("__maybe")
-    sets = near.join(lists, ["id", "text_key"]).select("text", "numbers").mapInArrow(_fetch, "key long, key2 int, words array<long>")
-    sets = stored(sets.groupBy("key", "key2").agg(F.first("words").alias("words")).join(wanted, ["key", "key2"]))
-    a, b = (sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "key2", "words", "first")]) for s in "ab")
-    alike = pairs.join(a, ["a_key", "a_key2"]).join(b, ["b_key", "b_key2"]).where(f"{p + q} * size(array_intersect(a_words, b_words)) >= {p} * (a_n + b_n)")
-    later = alike.select(F.expr("CASE WHEN a_first < b_first THEN struct(b_key AS key, b_key2 AS key2) ELSE struct(a_key AS key, a_key2 AS key2) END").alias("x"))
-    later = later.select("x.key", "x.key2").distinct().withColumn("similar", F.lit(True))
-    known = first.join(later, ["key", "key2"], "left").where("similar OR first < last").select("key", "key2", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
-    gone = lines.join(stored(known), ["key", "key2"]).where("similar OR struct(id, text_key, line) > first")
+    gone = lines.join(known, ["key", "key2"]).where("similar OR struct(id, line) > first")
     return stored(gone.select("id", "text_key", "line").distinct()), whole
 
 

@@ -7,6 +7,7 @@ from .decontamination import op2_benchmark_decontamination
 from .bpe import op6_bpe
 from .line_dedup import op3_line_dedup
 from .quality_classifier import op9_quality_classifier
+from .secret_scan import op7_secret_scan
 from .simhash import op4_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_bpe": op6_bpe,
+    "op7_secret_scan": op7_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
