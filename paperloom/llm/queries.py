@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import op5_chat_formatting
 from .decontamination import op2_benchmark_decontamination
 from .bpe import op6_bpe
+from .license_scan import op10_license_scan
 from .line_dedup import op3_line_dedup
 from .quality_classifier import op9_quality_classifier
 from .secret_scan import op7_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
