@@ -11,6 +11,7 @@ from .quality_classifier import op9_quality_classifier
 from .secret_scan import op7_secret_scan
 from .simhash import op4_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
+from .topk_search import op8_topk_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
+    "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
