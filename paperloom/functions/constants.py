@@ -62,4 +62,4 @@ REGION_TYPES = ["image", "chart", "table", "formula", "unknown"]
 DECISION_STATES = ["confirmed", "corrected", "ambiguous"]
 
 #: Line breaks of str.splitlines().
-LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
