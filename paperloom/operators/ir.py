@@ -35,6 +35,10 @@ def front_matter(values: dict[str, Column]) -> Column:
     return F.when(body == "", "").otherwise(F.concat(F.lit("---\n"), body, F.lit("\n---")))
 
 
+def _has(blocks: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in blocks.columns else F.lit(None).cast(kind)
+
+
 # -- index ------------------------------------------------------------------------------------------------------------------
 
 
@@ -55,18 +59,18 @@ def section_parents(blocks: DataFrame) -> DataFrame:
 
 def tables_index(blocks: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
     """Tables in reading order; annotated ones (without page or block) come after the others."""
-    own = blocks.where("type = 'table'").select("doc_id", "seq", "page", "caption", F.lit(0).alias("annotated"))
+    own = blocks.where("type = 'table'").select("doc_id", "seq", "page", _has(blocks, "caption").alias("caption"), F.lit(0).alias("annotated"))
     if annotations is None:
         return own
     return own.unionByName(annotations.select("doc_id", "seq", F.lit(None).cast("int").alias("page"), "caption", F.lit(1).alias("annotated")))
 
 
 def figures_index(blocks: DataFrame) -> DataFrame:
-    return blocks.where("type = 'image'").select("doc_id", "seq", "page", "path", "caption")
+    return blocks.where("type = 'image'").select("doc_id", "seq", "page", _has(blocks, "path").alias("path"), _has(blocks, "caption").alias("caption"))
 
 
 def formulas_index(blocks: DataFrame) -> DataFrame:
-    return blocks.where("type IN ('display_formula', 'inline_formula')").select("doc_id", "seq", "page", "type", "latex", "number")
+    return blocks.where("type IN ('display_formula', 'inline_formula')").select("doc_id", "seq", "page", "type", _has(blocks, "latex").alias("latex"), _has(blocks, "number").alias("number"))
 
 
 def page_index(blocks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -95,10 +99,6 @@ def text_of(blocks: DataFrame) -> DataFrame:
 # -- Markdown ---------------------------------------------------------------------------------------------------------------
 
 
-def _has(blocks: DataFrame, name: str, kind: str = "string") -> Column:
-    return F.col(name) if name in blocks.columns else F.lit(None).cast(kind)
-
-
 def rendered(blocks: DataFrame) -> Column:
     """A block as Markdown; null if it renders nothing."""
     c = {name: _has(blocks, name) for name in ("content", "caption", "path", "markdown", "latex", "number")}
