@@ -5,15 +5,17 @@ similarity t or more then share a word within the first n - ceil(t * n) + 1 of e
 
 1. A scan counts all words in a table of 2**20 bins, added up over the tasks: its size doesn't depend on the input.
    Any fixed order makes the filter exact; words that share a bin only make it a little less sharp.
-2. A second scan writes for each line the key of its word set, and deals its prefix words out by word. Rows of one batch
-   and part travel as one packed record, so that the shuffle costs bytes and hardly any rows. The number of parts follows
-   the number of words, so a part has a bounded share of the rows.
-3. In each part, rows with the same word meet in numpy, in order of length: length filter, positional filter, and a parity
-   filter (a 64-bit parity vector of each set: differing bits can't outnumber differing words). Copies of one word set
-   count once. Each line keeps its BEST most promising earlier lines for each word, so a dense group makes no square.
-4. The words of the lines in question are fetched (a bitmap of fixed size keeps other texts out of the shuffle), and the
-   similarity is verified in integers: first with the most promising earlier line, then, where that fails, with the others;
-   lines that fail with all of a list that was cut at BEST are compared with all their candidates in one more pass.
+2. A second scan deals the prefix words of all lines out by word, and the lines by the key of their word set. Rows of one
+   batch and part travel as one packed record, so that the shuffle costs bytes and hardly any rows. The number of parts
+   follows the number of words, so a part has a bounded share of the rows.
+3. In each part of lines, copies of one word set find their first. In each part of words, rows with the same word meet in
+   numpy, in order of length: length filter, positional filter, and a parity filter (a 64-bit parity vector of each set:
+   differing bits can't outnumber differing words). Copies of one set count once. Each line keeps its most promising earlier
+   lines for each word (BEST of them where the closest surely is close, MANY in borderline cases and for short lines), so a dense group makes
+   no square.
+4. A third scan fetches the words of the lines in question, which a bitmap of fixed size picks out, and parity vectors of 512
+   bits, which leave few false pairs. The similarity is verified in integers: with the closest earlier line first, then, where
+   that fails, with the others; lines that fail with all of a list that was cut meet all their candidates in one more pass.
 5. A line goes if an earlier line of the corpus, by document id and line number, has the same words or is similar.
 """
 
@@ -32,7 +34,8 @@ from ._spark import key_filter, maybe_in, release, stored
 from ._text import SPACE_WORD, blocks, column_bytes, mix, ranges, word_bounds, word_hashes
 
 RARITY_BITS = 20
-_WANTED_BITS = 24
+_RANK_BITS = 20
+_BITMAP_BITS = 25
 _CHUNK = 1 << 14
 _U = np.uint64
 
@@ -86,11 +89,21 @@ class _Lines:
         self.breaks = breaks[o]  # line breaks before each document
         owner = np.repeat(np.arange(len(o) - 1), np.diff(documents))
         line = breaks[s] + owner
-        order = np.lexsort((words, line)) if rarity is None else np.lexsort((words, rarity[_bin(words)], line))
-        words, line, owner = words[order], line[order], owner[order]
+        shift = _U(max(1, int(line[-1]).bit_length() if len(line) else 1))
+        rank = np.zeros(len(words), _U) if rarity is None else rarity[_bin(words)]
+        bits = shift if rarity is None else shift + _U(_RANK_BITS)
+        by = line.astype(_U) << (_U(64) - shift) | rank << (_U(64) - bits) | words >> bits
+        order = np.argsort(by)
+        by, words = by[order], words[order]
+        if ((by[1:] == by[:-1]) & (words[1:] != words[:-1])).any():  # two words agree in the bits that are left
+            words = word_hashes(d, s, e)
+            order = np.lexsort((words, rank, line))
+            words = words[order]
+        line, owner = line[order], owner[order]
         new = np.ones(len(words), bool)
         new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-        self.words, line, owner = words[new], line[new], owner[new]
+        words, line, owner = words[new], line[new], owner[new]
+        self.words = words
         self.starts = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.empty(0, np.int64)
         self.n = np.diff(np.append(self.starts, len(line)))
         self.owner = owner[self.starts]
@@ -104,137 +117,201 @@ class _Lines:
         return mix(a).view(np.int64), (mix(b) >> _U(33)).astype(np.int32)
 
 
-_LINES = "key long, key2 int, n int, id long, text_key long, line int"
-#: A prefix word of a line, as it travels: the word, its line's key, parity vector, size and first place, and its own place.
-_ROW = [("word", np.int64), ("key", np.int64), ("parity", np.uint64), ("n", np.int32), ("place", np.int32), ("id", np.int64), ("line", np.int32)]
+#: A prefix word of a line as it travels: the word's low bits, its line's key, parity vector, size and first place, and its own place.
+_WORD = [("word", np.uint32), ("key", np.int64), ("parity", np.uint64), ("n", np.int32), ("place", np.int32), ("id", np.int64), ("line", np.int32)]
+#: A line as it travels.
+_LINE = [("key", np.int64), ("key2", np.int32), ("id", np.int64), ("text_key", np.int64), ("line", np.int32)]
 #: Rows that a part is made for, pairs that are looked at together, and the most candidates that a line keeps for a word.
-_PART, _PAIRS, BEST = 1 << 17, 1 << 21, 8
+_PART, _PAIRS, BEST, MANY = 1 << 17, 1 << 21, 8, 256
 
 
 def _pack(rows: dict[str, np.ndarray], a: int, b: int) -> bytes:
-    return b"".join(np.ascontiguousarray(rows[name][a:b], kind).tobytes() for name, kind in _ROW)
-
-
-def _unpack(packed: list[bytes]) -> dict[str, np.ndarray]:
-    width, out = sum(np.dtype(kind).itemsize for _, kind in _ROW), {name: [] for name, _ in _ROW}
+    """Rows a to b, column after column; each as differences from its least value if they fit in fewer bytes."""
+    out = [np.int64(b - a).tobytes()]
+    for name, own in rows.items():
+        own = own[a:b]
+        low = own.min()
+        span = int(own.max()) - int(low)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if span <= np.iinfo(k).max and np.dtype(k).itemsize < own.itemsize), None)
+        out += [np.int8(0 if kind is None else np.dtype(kind).itemsize).tobytes(), low.tobytes(), own.tobytes() if kind is None else (own - low).astype(kind).tobytes()]
+    return b"".join(out)
+
+
+def _unpack(packed: list[bytes], columns: list) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {name: [] for name, _ in columns}
     for x in packed:
-        n, at = len(x) // width, 0
-        for name, kind in _ROW:
-            out[name].append(np.frombuffer(x, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+        n, at = int(np.frombuffer(x, np.int64, 1)[0]), 8
+        for name, kind in columns:
+            size, low = x[at], np.frombuffer(x, kind, 1, at + 1)[0]
+            at += 1 + np.dtype(kind).itemsize
+            short = {0: kind, 1: np.uint8, 2: np.uint16, 4: np.uint32}[size]
+            own = np.frombuffer(x, short, n, at)
+            out[name].append(own if not size else own.astype(kind) + low)
+            at += own.nbytes
     return {name: np.concatenate(v) for name, v in out.items()}
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lines, and one of each document (n: its lines; key null)."""
-    for batch in batches:
-        data, offsets = column_bytes(batch.column(2))
-        ids, keys, void = batch.column(0), batch.column(1).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
-        for first, last, d, o in blocks(data, offsets):
-            lines = _Lines(d, o, None)
-            key, key2 = lines.keys()
-            own = first + lines.owner
-            use = np.flatnonzero(known[own])
-            docs = np.arange(first, last)
-            total = (lines.breaks[1:] - lines.breaks[:-1] + 1) * ~void[first:last]
-            columns = [
-                pa.array(np.append(key[use], np.zeros(len(docs), np.int64)), mask=np.append(np.zeros(len(use), bool), np.ones(len(docs), bool))),
-                pa.array(np.append(key2[use], np.zeros(len(docs), np.int32))),
-                pa.array(np.append(lines.n[use], total).astype(np.int32)),
-                pa.array(np.append(ids[own[use]], ids[docs]), mask=np.append(np.zeros(len(use), bool), ~known[docs])),
-                pa.array(np.append(keys[own[use]], keys[docs])),
-                pa.array(np.append(lines.number[use], np.zeros(len(docs))).astype(np.int32)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "key2", "n", "id", "text_key", "line"])
+def _by_part(dealt: list[dict[str, np.ndarray]], columns: list, kind: int, sets: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """One packed record for each part of the rows; sets: the words of each row's line, to go along."""
+    rows = {name: np.concatenate([x[name] for x in dealt]) for name in ["part", *[name for name, _ in columns]]}
+    dealt.clear()
+    order = np.argsort(rows["part"], kind="stable")
+    part = rows.pop("part")[order]
+    rows = {name: rows[name][order].astype(k, copy=False) for name, k in columns}
+    bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    ends = [*bounds[1:].tolist(), len(order)]
+    out = [_pack(rows, a, b) for a, b in zip(bounds.tolist(), ends, strict=True)]
+    words = pa.nulls(len(out), pa.binary())
+    if sets is not None:
+        words = pa.array([b"".join([sets[k].tobytes() for k in order[a:b].tolist()]) for a, b in zip(bounds.tolist(), ends, strict=True)], pa.binary())
+        sets.clear()
+    return pa.RecordBatch.from_arrays([pa.array(part[bounds] * 2 + kind, pa.int64()), pa.array(out, pa.binary()), words], names=["part", "rows", "words"])
 
 
 def _deal(rarity, p: int, q: int, bits: int, only):
-    """The prefix words of all lines, packed by part; only: those in this bitmap of words."""
-
-    def packed(dealt: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        rows = {name: np.concatenate([x[name] for x in dealt]) for name in ["part", *[name for name, _ in _ROW]]}
-        dealt.clear()
-        order = np.argsort(rows["part"], kind="stable")
-        rows = {name: v[order] for name, v in rows.items()}
-        bounds = np.flatnonzero(np.append(True, rows["part"][1:] != rows["part"][:-1]))
-        out = [_pack(rows, a, b) for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(rows["part"][bounds], pa.int32()), pa.array(out, pa.binary())], names=["part", "rows"])
+    """Packed prefix words (even parts) and lines (odd parts); only: no lines, the words in this bitmap, and whole word sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, dealt, size = rarity.value, [], 0
+        table, words, copies, sets = rarity.value, [], [], None if only is None else []
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
+            data, offsets = column_bytes(batch.column(2))
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy()
+            ids, texts = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
             for first, _, d, o in blocks(data, offsets):
                 lines = _Lines(d, o, table)
-                if not len(lines.starts):
-                    continue
-                key, own = lines.keys()[0], first + lines.owner
+                own = first + lines.owner
                 use = np.flatnonzero(known[own])
-                use = use[np.sort(np.unique(key[use], return_index=True)[1])]  # one of the copies in this block
+                if not len(use):
+                    continue
+                key, key2 = lines.keys()
+                if only is None:
+                    copies.append({"part": (key[use].view(_U) >> _U(64 - bits)).astype(np.int64), "key": key[use], "key2": key2[use], "id": ids[own[use]], "text_key": texts[own[use]], "line": lines.number[use]})
+                use = use[np.lexsort((lines.number[use], ids[own[use]], key[use]))]
+                use = use[np.append(True, key[use][1:] != key[use][:-1])]  # the first of the copies in this block
                 prefix = lines.n[use] - -(-p * lines.n[use] // q) + 1
                 at, of = ranges(lines.starts[use], prefix), np.repeat(use, prefix)
                 place = np.arange(len(at)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                word = lines.words[at]
+                part, word = (lines.words[at] >> _U(64 - bits)).astype(np.int64), lines.words[at].astype(np.uint32)
                 if only is not None:
-                    here = _in_bitmap(only.value, word)
-                    at, of, place, word = at[here], of[here], place[here], word[here]
-                if not len(at):
-                    continue
+                    here = _in_bitmap(only.value, _name(part, word))
+                    of, place, part, word = of[here], place[here], part[here], word[here]
+                    sets += [lines.words[a:b] for a, b in zip(lines.starts[of].tolist(), (lines.starts[of] + lines.n[of]).tolist(), strict=True)]
                 parity = np.bitwise_xor.reduceat(_U(1) << (mix(lines.words) & _U(63)), lines.starts)
-                part = (word >> _U(64 - bits)).astype(np.int32)
-                dealt.append({"part": part, "word": word, "key": key[of], "parity": parity[of], "n": lines.n[of].astype(np.int32), "place": place.astype(np.int32), "id": ids[own[of]], "line": lines.number[of].astype(np.int32)})
-                size += len(at)
-                if size > _PART:
-                    yield packed(dealt)
-                    size = 0
-        if dealt:
-            yield packed(dealt)
+                words.append({"part": part, "word": word, "key": key[of], "parity": parity[of], "n": lines.n[of], "place": place, "id": ids[own[of]], "line": lines.number[of]})
+                if sum(len(x["word"]) for x in words) > _PART:
+                    yield _by_part(words, _WORD, 0, sets)
+            if sum(len(x["key"]) for x in copies) > _PART:
+                yield _by_part(copies, _LINE, 1)
+        if words and any(len(x["word"]) for x in words):
+            yield _by_part(words, _WORD, 0, sets)
+        if copies:
+            yield _by_part(copies, _LINE, 1)
 
     return run
 
 
+def _name(part: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A word's part and low bits, as one scrambled value."""
+    return mix(part.astype(_U) << _U(32) | word.astype(_U)).view(np.int64)
+
+
+def _occurrence(key: np.ndarray, id_: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A line of a document, as one scrambled value."""
+    return mix(key.view(_U) ^ mix(id_.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + line.astype(_U))).view(np.int64)
+
+
 def _in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    bit = values.view(np.uint64) >> _U(64 - _WANTED_BITS)
+    bit = values.view(np.uint64) >> _U(64 - _BITMAP_BITS)
     return (bitmap[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8) & 1) > 0
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = np.zeros(1 << _BITMAP_BITS, bool)
+    for batch in batches:
+        out[(batch.column(0).to_numpy().view(_U) >> _U(64 - _BITMAP_BITS)).astype(np.int64)] = True
+    packed = zlib.compress(np.packbits(out, bitorder="little").tobytes(), 1)
+    yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["bits"])
+
+
 def _bitmap(values: DataFrame) -> np.ndarray:
-    """A bitmap of the first bits of a column of 64-bit values: 2 MB, whatever their number."""
-    out = np.zeros(1 << (_WANTED_BITS - 3), np.uint8)
-    bit = F.shiftrightunsigned("value", 64 - _WANTED_BITS)
-    bits = values.select(F.shiftright(bit, 3).alias("at"), F.expr("shiftleft(1, CAST(shiftrightunsigned(value, %d) & 7 AS INT))" % (64 - _WANTED_BITS)).alias("bit"))
-    for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[r["at"]] = r["bits"]
+    """A bitmap of the first bits of a column of scrambled 64-bit values: 4 MB at most, whatever their number."""
+    out = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
+    for r in values.repartition(4).mapInArrow(_mark, "bits binary").collect():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
 
+def _by_time(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """The rows' places in the order of document id, line number and key."""
+    id_, line = rows["id"], rows["line"]
+    if len(id_) and 0 <= id_.min() and id_.max() < 1 << 40 and line.max() < 1 << 23:
+        at = id_ << 23 | line
+        order = np.argsort(at)
+        if (at[order][1:] != at[order][:-1]).all():
+            return order
+    return np.lexsort((rows["key"], line, id_))
+
+
 def _merged_copies(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The rows with one for each word and word set: that of the earliest line; in the order of word and length."""
-    same = np.lexsort((rows["line"], rows["id"], rows["key"], rows["word"]))
-    word, key = rows["word"][same], rows["key"][same]
-    kept = same[np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))]
-    kept = kept[np.lexsort((rows["n"][kept], rows["word"][kept]))]
+    when = np.empty(len(rows["id"]), np.int64)
+    when[_by_time(rows)] = np.arange(len(when))
+    meeting = rows["word"].astype(_U) << _U(32) | rows["key"].view(_U) >> _U(32)
+    same = np.argsort(meeting)
+    start = np.flatnonzero(np.append(True, meeting[same][1:] != meeting[same][:-1])) if len(same) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(same)))
+    several = np.repeat(size > 1, size)
+    some = same[several]
+    some = some[np.lexsort((when[some], rows["key"][some], rows["word"][some]))]
+    word, key = rows["word"][some], rows["key"][some]
+    first = some[np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))] if len(some) else some
+    kept = np.concatenate([same[~several], first])
+    kept = kept[np.argsort(rows["word"][kept].astype(_U) << _U(32) | rows["n"][kept].astype(_U))]
     return {name: v[kept] for name, v in rows.items()}
 
 
-def _candidates(p: int, q: int, wanted):
-    """The most promising earlier lines of each line, for each word of a part, and (with other null) the words at which a
-    list was cut; wanted: all earlier lines, of the lines in this bitmap only."""
+_MET = "kind string, key long, other long, apart int, word long, id long, text_key long, line int, own long, theirs long"
+
+
+def _result(kind: str, n: int, **columns: np.ndarray) -> pa.Table:
+    types = {"key": pa.int64(), "other": pa.int64(), "apart": pa.int32(), "word": pa.int64(), "id": pa.int64(), "text_key": pa.int64(), "line": pa.int32(), "own": pa.int64(), "theirs": pa.int64()}
+    return pa.table({"kind": pa.array([kind] * n, pa.string())} | {name: pa.array(columns[name], t) if name in columns else pa.nulls(n, t) for name, t in types.items()})
+
+
+def _later_copies(packed: list[bytes]) -> pa.Table:
+    """Lines (kind `copy`) whose word set an earlier line has."""
+    rows = _unpack(packed, _LINE)
+    order = np.lexsort((rows["line"], rows["id"], rows["key2"], rows["key"]))
+    rows = {name: v[order] for name, v in rows.items()}
+    new = np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["key2"][1:] != rows["key2"][:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (rows["id"] > rows["id"][first]) | (rows["line"] > rows["line"][first])
+    return _result("copy", int(later.sum()), id=rows["id"][later], text_key=rows["text_key"][later], line=rows["line"][later])
+
+
+def _meet(p: int, q: int, wanted):
+    """What the rows of a part have in common: `copy` rows of a part of lines; of a part of words, the most promising earlier
+    lines of each line for each word (kind `pair`) and the words at which such a list was cut (`cut`); wanted: of the lines in this
+    bitmap those that are similar to any earlier line (`similar`), by the word sets that came along."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = _merged_copies(_unpack(table["rows"].to_pylist()))
+    def run(key_: tuple, table: pa.Table) -> pa.Table:
+        part, packed = key_[0].as_py(), table["rows"].to_pylist()
+        if part % 2:
+            return _later_copies(packed)
+        rows = _unpack(packed, _WORD)
+        if wanted is not None:
+            sets = np.split(np.frombuffer(b"".join(table["words"].to_pylist()), np.uint64), np.cumsum(rows["n"])[:-1])
+            rows["at"] = np.arange(len(rows["n"]))
+        rows = _merged_copies(rows)
         n, place, parity, key = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["parity"], rows["key"]
+        where_ = _occurrence(key, rows["id"], rows["line"])
         when = np.empty(len(n), np.int64)
-        when[np.lexsort((key, rows["line"], rows["id"]))] = np.arange(len(n))
+        when[_by_time(rows)] = np.arange(len(n))
         meeting = np.cumsum(np.append(0, rows["word"][1:] != rows["word"][:-1])) << 31
         count = np.searchsorted(meeting | n, meeting | np.minimum(q * n // p, (1 << 31) - 1), "right") - np.arange(len(n)) - 1
         ends = np.cumsum(count)
-        later, earlier, apart = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        first = 0
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
+        first, all_ = 0, np.zeros(len(n), np.int64)
         while first < len(n):
             last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _PAIRS, "right")))
             a = np.repeat(np.arange(first, last), count[first:last])
@@ -242,49 +319,87 @@ def _candidates(p: int, q: int, wanted):
             need = -(-p * (n[a] + n[b]) // (p + q))
             ok = (place[a] <= n[a] - need) & (place[b] <= n[b] - need)
             a, b, need = a[ok], b[ok], need[ok]
-            bits = np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64)
-            ok = bits <= n[a] + n[b] - 2 * need
-            a, b, bits = a[ok], b[ok], bits[ok]
+            bits, most = np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64), n[a] + n[b] - 2 * need
+            ok = bits <= most
+            a, b, bits, most = a[ok], b[ok], bits[ok], most[ok]
             swap = when[a] < when[b]
-            later.append(np.where(swap, b, a))
-            earlier.append(np.where(swap, a, b))
-            apart.append(bits)
+            later, earlier = np.where(swap, b, a), np.where(swap, a, b)
+            if wanted is None:
+                all_ += np.bincount(later, minlength=len(n))
+                later, earlier, bits, most = _best(later, earlier, bits, most, when)
+            found.append((later, earlier, bits, most))
             first = last
-        later, earlier, apart = np.concatenate(later), np.concatenate(earlier), np.concatenate(apart)
+        later, earlier, bits, most = (np.concatenate(x) for x in zip(*found, strict=True))
         if wanted is not None:
             ok = _in_bitmap(wanted.value, key[later])
-            later, earlier, apart = later[ok], earlier[ok], apart[ok]
-        order = np.lexsort((when[earlier], apart, later))
-        later, earlier, apart = later[order], earlier[order], apart[order]
-        group = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.empty(0, np.int64)
-        size = np.diff(np.append(group, len(later)))
-        nth = np.arange(len(later)) - np.repeat(group, size)
-        cut = later[group[size > BEST]]
-        if wanted is not None:
-            cut = cut[:0]
-        else:
-            ok = nth < BEST
-            later, earlier, apart = later[ok], earlier[ok], apart[ok]
-        other = pa.array(np.append(key[earlier], np.zeros(len(cut), np.int64)), mask=np.append(np.zeros(len(later), bool), np.ones(len(cut), bool)))
-        word = pa.array(np.append(np.zeros(len(later), np.int64), rows["word"][cut]), mask=np.append(np.ones(len(later), bool), np.zeros(len(cut), bool)))
-        return pa.table({"key": np.append(key[later], key[cut]), "other": other, "apart": np.append(apart, np.zeros(len(cut))).astype(np.int32), "word": word})
+            at, similar = rows["at"], set()
+            for a, b in zip(later[ok].tolist(), earlier[ok].tolist(), strict=True):
+                x, y = sets[at[a]], sets[at[b]]
+                if a not in similar and (p + q) * len(np.intersect1d(x, y)) >= p * (len(x) + len(y)):
+                    similar.add(a)
+            found_ = np.array(sorted(similar), np.int64)
+            return _result("similar", len(found_), key=key[found_])
+        kept = _best(later, earlier, bits, most, when)
+        cut = np.flatnonzero(all_ > np.bincount(kept[0], minlength=len(n)))
+        pairs = _result("pair", len(kept[0]), key=key[kept[0]], other=key[kept[1]], apart=kept[2].astype(np.int32), own=where_[kept[0]], theirs=where_[kept[1]])
+        return pa.concat_tables([pairs, _result("cut", len(cut), key=key[cut], word=_name(np.full(len(cut), part // 2), rows["word"][cut]))])
 
     return run
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the listed lines (column 1) of each text (column 0)."""
-    for batch in batches:
-        data, offsets = column_bytes(batch.column(0))
-        wanted = batch.column(1).to_pylist()
-        for first, last, d, o in blocks(data, offsets):
-            lines = _Lines(d, o, None)
-            key, key2 = lines.keys()
-            numbers = [set(x) for x in wanted[first:last]]
-            use = [k for k, (a, b) in enumerate(zip(lines.owner.tolist(), lines.number.tolist(), strict=True)) if b in numbers[a]]
-            words = lines.words.view(np.int64)
-            sets = [words[a : a + b] for a, b in zip(lines.starts[use].tolist(), lines.n[use].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(key2[use]), pa.array(sets, pa.list_(pa.int64()))], names=["key", "key2", "words"])
+def _best(later: np.ndarray, earlier: np.ndarray, bits: np.ndarray, most: np.ndarray, when: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each line's pairs the BEST, or MANY if the closest is a borderline case."""
+    order = np.lexsort((when[earlier], bits, later))
+    later, earlier, bits, most = later[order], earlier[order], bits[order], most[order]
+    group = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.empty(0, np.int64)
+    size = np.diff(np.append(group, len(later)))
+    sure = (2 * bits[group] <= most[group]) & (most[group] >= 4) & (bits[group] <= 8)  # a longer vector may be one of many words
+    limit = np.where(sure, BEST, MANY)
+    ok = np.arange(len(later)) - np.repeat(group, size) < np.repeat(limit, size)
+    return later[ok], earlier[ok], bits[ok], most[ok]
+
+
+#: Lines, and (with key null, n being its lines) a row for each document.
+_SETS = "key long, key2 int, id long, text_key long, line int, n int, parity array<long>, words array<long>"
+
+
+def _wide_parity(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """512-bit parity vectors of sets that follow one another, each as a row of eight values."""
+    out = np.zeros((len(n), 8), np.int64)
+    full = n > 0
+    starts = (np.cumsum(n) - n)[full]
+    bit = mix(words ^ _U(0x3C6EF372FE94F82B))
+    for k in range(8 if len(starts) else 0):
+        out[full, k] = np.bitwise_xor.reduceat(np.where(bit >> _U(61) == k, _U(1) << (bit & _U(63)), _U(0)), starts).view(np.int64)
+    return out
+
+
+def _fetch(wanted, places):
+    """The lines whose keys the bitmap has; with their words those whose occurrences the second bitmap has. And all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(2))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids, texts = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+            void = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            for first, last, d, o in blocks(data, offsets):
+                lines = _Lines(d, o, None)
+                key, key2 = lines.keys()
+                own = first + lines.owner
+                total, size = np.where(void[first:last], 0, np.diff(lines.breaks) + 1).astype(np.int32), last - first
+                none = [pa.nulls(size, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([none[0], none[1], pa.array(ids[first:last], mask=~known[first:last]), pa.array(texts[first:last]), none[2], pa.array(total), none[3], none[3]], names=["key", "key2", "id", "text_key", "line", "n", "parity", "words"])
+                full = _in_bitmap(places.value, _occurrence(key, ids[own], lines.number))
+                use = np.flatnonzero(known[own] & (full | _in_bitmap(wanted.value, key)))
+                own, n = own[use], lines.n[use] * full[use]
+                words = lines.words[ranges(lines.starts[use], n)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(words.view(np.int64)))
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(n) + 1, 8, dtype=np.int32)), pa.array(_wide_parity(words, n).ravel()))
+                columns = [pa.array(x) for x in (key[use], key2[use], ids[own], texts[own], lines.number[use].astype(np.int32), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, parity, lists], names=["key", "key2", "id", "text_key", "line", "n", "parity", "words"])
+
+    return run
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,53 +432,54 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = documents.sparkSession
     docs = _keyed(documents, id_col, text_col)
     counts = word_rarity(documents, text_col)
-    rarity = spark.sparkContext.broadcast(counts)
+    # ranks of 20 bits in the order of the counts: their float32 patterns without the last bits
+    rarity = spark.sparkContext.broadcast((counts.astype(np.float32).view(np.uint32) >> np.uint32(32 - 1 - _RANK_BITS)).astype(_U))
     bits = max(4, int(int(counts.sum()) * (q - p + 1) // (q * _PART)).bit_length())
-    rows = stored(docs.mapInArrow(_scan, _LINES))
-    whole = rows.where("key IS NULL").select("id", "text_key", F.col("n").cast("long").alias("n_lines"))
-    lines = rows.where("key IS NOT NULL")
-
-    def dealt(only) -> DataFrame:
-        return docs.select("id", "text").mapInArrow(_deal(rarity, p, q, bits, only), "part int, rows binary").groupBy("part")
-
-    kind = "key long, other long, apart int, word long"
-    pairs = dealt(None).applyInArrow(_candidates(p, q, None), kind).groupBy("key", "other", "word").agg(F.min("apart").alias("apart"))
-    found = stored(pairs)
-    pairs, cuts = found.where("other IS NOT NULL").select("key", "other", "apart"), found.where("other IS NULL").select("key", "word")
-    release(spark)
-    first = stored(lines.groupBy("key", "key2").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")))
-
-    def alike(tried: DataFrame) -> DataFrame:
-        """key, key2 of lines that are similar to the earlier line of one of their pairs (key, other)."""
-        sides = tried.select("key").union(tried.select("other")).distinct()
-        wanted = stored(sides.join(first, "key").select("key", "key2", "first"))
-        lists = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.line").alias("numbers"))
-        near = maybe_in(docs, key_filter(wanted.select("first.id"), "id"), "id").where("__maybe")
-        found = near.join(lists, "id").select("text", "numbers").mapInArrow(_fetch, "key long, key2 int, words array<long>")
-        sets = found.join(wanted, ["key", "key2"]).groupBy("key", "key2").agg(F.first("words").alias("words"), F.first("first").alias("first"))
-        sets = stored(sets)
-        other = sets.select(F.col("key").alias("other"), F.col("words").alias("other_words"), F.col("first").alias("other_first"))
-        both = tried.select("key", "other").join(sets, "key").join(other, "other").where("other_first < first")
+    def met(only, wanted) -> DataFrame:
+        return docs.mapInArrow(_deal(rarity, p, q, bits, only), "part long, rows binary, words binary").groupBy("part").applyInArrow(_meet(p, q, wanted), _MET)
+
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """All lines with the pairs' keys (and, by the bitmap's nature, some others); with words each set's first line."""
+        keys = spark.sparkContext.broadcast(_bitmap(pairs.select("key")))
+        places = spark.sparkContext.broadcast(_bitmap(pairs.select("own").union(pairs.select("theirs"))))
+        return stored(docs.mapInArrow(_fetch(keys, places), _SETS))
+
+    def alike(tried: DataFrame, sets: DataFrame) -> DataFrame:
+        """key, key2 of the lines that are similar to the earlier line of one of their pairs (key, other)."""
+        ends = tried.select("key").union(tried.select("other"))
+        one = maybe_in(sets.where("n > 0"), key_filter(ends, "key"), "key").where("__maybe").select("key", "key2", "words")
+        other = one.select(F.col("key").alias("other"), F.col("key2").alias("other2"), F.col("words").alias("other_words"))
+        both = tried.select("key", "other").join(one, "key").join(other, "other")
         overlap = F.size(F.array_intersect("words", "other_words"))
         return both.where(F.lit(p + q) * overlap >= F.lit(p) * (F.size("words") + F.size("other_words"))).select("key", "key2").distinct()
 
-    best = stored(pairs.groupBy("key").agg(F.min(F.struct("apart", "other")).alias("best")).select("key", F.col("best.other").alias("other")))
-    similar = stored(alike(best))
-    failed = pairs.join(best, ["key", "other"], "left_anti").join(similar, "key", "left_anti")
-    more = stored(alike(stored(failed.select("key", "other"))))
-    similar = similar.union(more)
-    # key alone can stand for two word sets only if 64 bits agree; such sets are judged one by one above
+    found = stored(met(None, None))
+    release(spark)
+    copies, cuts = found.where("kind = 'copy'").select("id", "text_key", "line"), found.where("kind = 'cut'").select("key", "word")
+    pairs = stored(found.where("kind = 'pair'").groupBy("key", "other", "own", "theirs").agg(F.min("apart").alias("apart")))
+    sets = fetched(pairs)
+    whole, sets = sets.where("key IS NULL").select("id", "text_key", F.col("n").cast("long").alias("n_lines")), sets.where("key IS NOT NULL")
+    mine, theirs = (sets.where("n > 0").select(*[F.col(c).alias(f"{name}{c}") for c in ("key", "n", "parity")]) for name in ("", "other_"))
+    apart = sum((F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("other_parity", F.lit(k)))) for k in range(8)), F.lit(0))
+    need = F.expr(f"({p} * (n + other_n) + {p + q - 1}) div {p + q}")
+    close = pairs.select("key", "other").join(mine, "key").join(theirs.withColumnRenamed("other_key", "other"), "other").withColumn("apart", apart)
+    close = stored(close.where(F.col("apart") <= F.col("n") + F.col("other_n") - 2 * need).select("key", "other", "apart"))
+    best = stored(close.groupBy("key").agg(F.min(F.struct("apart", "other")).alias("best")).select("key", F.col("best.other").alias("other")))
+    similar = stored(alike(best, sets))
+    release(spark)
+    failed = stored(close.join(best, ["key", "other"], "left_anti").join(similar, "key", "left_anti").select("key", "other"))
+    similar = stored(similar.union(alike(failed, sets)))
+    lines = [sets.join(similar, ["key", "key2"]).select("id", "text_key", "line")]
     open_ = stored(cuts.join(similar, "key", "left_anti"))
     if not open_.isEmpty():
-        keys, words = (spark.sparkContext.broadcast(_bitmap(open_.select(F.col(c).alias("value")))) for c in ("key", "word"))
-        again = dealt(words).applyInArrow(_candidates(p, q, keys), kind)
-        again = again.join(open_.select("key").distinct(), "key", "left_semi").select("key", "other").distinct()
-        similar = similar.union(stored(alike(stored(again))))
-    known = first.join(similar.distinct().withColumn("similar", F.lit(True)), ["key", "key2"], "left").where("similar OR first < last")
-    known = stored(known.select("key", "key2", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
+        keys, words = (spark.sparkContext.broadcast(_bitmap(open_.select(c))) for c in ("key", "word"))
+        again = met(words, keys).where("kind = 'similar'").join(open_.select("key").distinct(), "key", "left_semi").select("key").distinct()
+        lines.append(sets.join(again, "key").select("id", "text_key", "line"))
     release(spark)
-    gone = lines.join(known, ["key", "key2"]).where("similar OR struct(id, line) > first")
-    return stored(gone.select("id", "text_key", "line").distinct()), whole
+    gone = copies
+    for x in lines:
+        gone = gone.union(x)
+    return stored(gone.distinct()), whole
 
 
 def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
