@@ -39,3 +39,45 @@ def select_backend(formats: DataFrame, backends: DataFrame, fallback: str = "sim
     """format, backend: of the available backends that support it (null formats: all) the one of least priority number."""
     met = formats.join(F.broadcast(backends), backends["available"] & (backends["formats"].isNull() | F.array_contains(backends["formats"], formats["format"])), "left")
     return met.groupBy("format").agg(F.coalesce(F.min_by("name", "priority"), F.lit(fallback)).alias("backend"))
+
+
+def answer(requests: DataFrame, cache: DataFrame, ask=None) -> DataFrame:
+    """requests (ordinal, key, question, content) with answer, error and cache_hit; equal keys are asked once.
+
+    ask: a function of (question, content) to a text, run on the executors; an answer that begins with "Error:" is an error.
+    Without one, requests that the cache doesn't answer fail with "not configured". The order is the requests' ordinal.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            out = []
+            for key, question, content in zip(rows["key"], rows["question"], rows["content"], strict=True):
+                try:
+                    text = ask(question, content) if ask else "Error: not configured"
+                except Exception as e:  # noqa: BLE001  a failed request is a row with an error
+                    text = f"Error: {e}"
+                out.append((key, None, text) if text.startswith("Error:") else (key, text, None))
+            yield pd.DataFrame(out, columns=["key", "__new", "error"])
+
+    first = work_list(requests, cache).select("key", "ordinal")
+    asked = requests.join(first, ["key", "ordinal"], "left_semi").select("key", "question", "content")
+    fresh = asked.mapInPandas(run, "key string, __new string, error string")
+    out = look_up(requests, cache).join(fresh, "key", "left")
+    return out.withColumn("answer", F.coalesce("answer", "__new")).drop("__new")
+
+
+def with_defaults(results: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """results with a default for each null or missing column; warnings stay unique in their order."""
+    for name, value in defaults.items():
+        results = results.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in results.columns else F.lit(value))
+    if "warnings" in results.columns:
+        results = results.withColumn("warnings", F.array_distinct(F.coalesce("warnings", F.array().cast("array<string>"))))
+    return results
+
+
+def analysis_markdown(answers: DataFrame) -> DataFrame:
+    """ordinal, markdown: an answer as a page of its own."""
+    text = F.concat(F.lit("# Image analysis\n\n**Image:** "), "path", F.lit("\n\n**Question:** "), "question", F.lit("\n\n"), F.coalesce("answer", F.concat(F.lit("Error: "), F.coalesce("error", F.lit("unknown")))))
+    return answers.select("ordinal", text.alias("markdown"))

@@ -156,3 +156,60 @@ def dhash_of(pixels: list[list[int]]) -> int:
     """The difference hash of 8 rows of 9 grey values, for providers that have decoded an image."""
     p = np.asarray(pixels)
     return int.from_bytes(np.packbits(p[:, :-1] > p[:, 1:]).tobytes(), "big")
+
+
+# -- manifest ---------------------------------------------------------------------------------------------------------------
+
+
+def image_order(images: DataFrame) -> DataFrame:
+    """images with image_no (from 1) and image_id by page (else the chunk's first), place on it, number and path.
+
+    images: doc_id, path, phys_start, estimated_page, page_in_chunk, image_index.
+    """
+    page = F.coalesce("estimated_page", F.col("phys_start") + 1)
+    order = Window.partitionBy("doc_id").orderBy(page.asc_nulls_last(), F.col("page_in_chunk").asc_nulls_last(), F.col("image_index").asc_nulls_last(), "path")
+    number = F.row_number().over(order)
+    return images.withColumn("image_no", number).withColumn("image_id", F.format_string("image_%04d", F.col("image_no")))
+
+
+def occurrences(images: DataFrame) -> DataFrame:
+    """images (doc_id, path, chunk_index, phys_start) with what their names tell, their page in the file and a linked name."""
+    rows = images.withColumns(T.image_metadata("path"))
+    page = F.col("phys_start") + F.col("page_in_chunk") + 1
+    place = F.row_number().over(Window.partitionBy("doc_id", "chunk_index").orderBy("path"))
+    link = F.concat(F.lit("chunk-"), F.col("chunk_index").cast("string"), F.lit("-images-"), place.cast("string"), T.extension("path"))
+    return rows.withColumns({"estimated_page": page, "linked_path": link, "labels": T.candidate_labels("path", "kind", "region_source")})
+
+
+def groups_of_candidates(matches: DataFrame, groups: DataFrame) -> DataFrame:
+    """matches (doc_id, slot_no, rank, image_no) with near_group: the last group that has the image (groups may overlap)."""
+    last = groups.groupBy("doc_id", F.col("member").alias("image_no")).agg(F.max("group_no").alias("near_group"))
+    return matches.join(last, ["doc_id", "image_no"], "left")
+
+
+def mapping_template(slots: DataFrame, matches: DataFrame) -> DataFrame:
+    """doc_id, slot_id, figure_no, caption, candidates (by rank), status pending, for a reader's decisions."""
+    own = matches.groupBy("doc_id", "slot_no").agg(F.array_sort(F.collect_list(F.struct("rank", "image_no", "score"))).alias("candidates"))
+    rows = slots.join(own, ["doc_id", "slot_no"], "left")
+    return rows.select("doc_id", "slot_id", "figure_no", "caption", F.coalesce("candidates", F.array().cast(own.schema["candidates"].dataType)).alias("candidates"), F.lit("pending").alias("status"))
+
+
+def decision_example(template: DataFrame, entries: int = 2) -> DataFrame:
+    """The first slots of each document with their best candidate as the decision."""
+    order = Window.partitionBy("doc_id").orderBy("slot_id")
+    rows = template.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= entries)
+    best = F.get("candidates", F.lit(0))["image_no"]
+    return rows.select("doc_id", "slot_id", best.alias("image_no"), F.when(best.isNotNull(), "matched").otherwise("unmatched").alias("status"))
+
+
+def manifest_totals(raw: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame:
+    """doc_id, raw_images, unique_images, near_groups."""
+    a = raw.groupBy("doc_id").agg(F.count("*").alias("raw_images"))
+    b = groups.groupBy("doc_id").agg(F.count("*").alias("unique_images"))
+    c = near.groupBy("doc_id").agg(F.max("group_no").alias("near_groups"))
+    return a.join(b, "doc_id", "left").join(c, "doc_id", "left").select("doc_id", "raw_images", F.coalesce("unique_images", F.lit(0)).alias("unique_images"), F.coalesce("near_groups", F.lit(0)).alias("near_groups"))
+
+
+def readable_images(files: DataFrame, most_mb: int = 20) -> DataFrame:
+    """Image files of at most so many megabytes."""
+    return files.where((F.col("length") > 0) & (F.col("length") <= most_mb * 1024 * 1024) & F.element_at(F.create_map(*[F.lit(x) for p in K.IMAGE_TYPES.items() for x in p]), T.extension("path")).isNotNull())

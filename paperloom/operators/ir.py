@@ -158,3 +158,30 @@ def markdown_sections(documents: DataFrame, text_col: str = "text") -> DataFrame
     level = F.length(F.regexp_extract("__head", "^(#*)", 1))
     heading = F.trim(F.regexp_replace("__head", "^#*", ""))
     return own.select("doc_id", "section", level.alias("level"), heading.alias("heading"), "start_line", "end_line", F.array_join(F.transform("__body", lambda x: x["text"]), "\n").alias("content"))
+
+
+# -- nested form and precedence ---------------------------------------------------------------------------------------------
+
+
+def from_nested(documents: DataFrame, json_col: str = "json") -> DataFrame:
+    """blocks of nested documents (doc_id, json with blocks by id and reading_order): doc_id, seq, block_id and the body as JSON.
+
+    An id in the reading order that no block has renders nothing: its body is null. Without an order the blocks' own holds.
+    """
+    bodies = F.from_json(F.get_json_object(json_col, "$.blocks"), "map<string,string>")
+    order = F.from_json(F.get_json_object(json_col, "$.reading_order"), "array<string>")
+    rows = documents.select("doc_id", bodies.alias("__b"), F.when(F.size(order) > 0, order).otherwise(F.map_keys(bodies)).alias("__o"))
+    out = rows.select("doc_id", "__b", F.posexplode("__o").alias("seq", "block_id"))
+    return out.select("doc_id", F.col("seq").cast("long").alias("seq"), "block_id", F.try_element_at("__b", F.col("block_id")).alias("body"))
+
+
+def resolved_quality(documents: DataFrame) -> DataFrame:
+    """documents (payload_state, metadata_state, computed_state, requires_ocr, warnings) with state, requires_ocr and warnings.
+
+    A state that was given wins over one in the metadata, and that over a computed one; unreadable texts require OCR unless
+    something else was said, and warn once.
+    """
+    state = F.coalesce("payload_state", "metadata_state", "computed_state")
+    out = documents.withColumn("state", state)
+    warned = F.when(F.col("state") != "ok", F.array(F.concat(F.lit("text quality: "), F.col("state")))).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"requires_ocr": F.coalesce("requires_ocr", F.col("state") == "unreadable"), "warnings": F.array_distinct(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), warned))})

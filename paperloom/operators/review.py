@@ -142,3 +142,57 @@ def apply_decisions(regions: DataFrame, decisions: DataFrame, verdicts: DataFram
     out = regions.join(good, ["page_id", "region_id"], "left")
     done = F.col("__status").isNotNull()
     return out.withColumns({c: F.when(done, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("type", "bbox", "caption_id")} | {"review_status": F.col("__status")}).drop("__type", "__bbox", "__caption_id", "__status")
+
+
+# -- what is reviewed -------------------------------------------------------------------------------------------------------
+
+
+def distinct_regions(regions: DataFrame, share: float = 0.98) -> DataFrame:
+    """regions (page_id, region_id, seq, bbox) without those that nearly equal an earlier one that is kept.
+
+    Whether a region is kept depends on the kept ones before it, so a page is one group; a page's regions are few.
+    """
+
+    def keep(rows):
+        rows = rows.sort_values("seq")
+        kept: list[int] = []
+        boxes = [list(b) for b in rows["bbox"]]
+        for k, b in enumerate(boxes):
+            for other in (boxes[j] for j in kept):
+                over = max(0.0, min(b[2], other[2]) - max(b[0], other[0])) * max(0.0, min(b[3], other[3]) - max(b[1], other[1]))
+                if over / max(1.0, *((x[2] - x[0]) * (x[3] - x[1]) for x in (b, other))) > share:
+                    break
+            else:
+                kept.append(k)
+        return rows.iloc[kept]
+
+    return regions.groupBy("page_id").applyInPandas(keep, regions.schema)
+
+
+def distinct_captions(captions: DataFrame) -> DataFrame:
+    """captions (page_id, caption_id, seq, bbox, text) without those with the text of an earlier one that they meet."""
+    rows = captions.withColumn("__text", T.strip("text"))
+    earlier = rows.select("page_id", "__text", F.col("seq").alias("__seq"), F.col("bbox").alias("__box"))
+    a, b = rows.alias("a"), earlier.alias("b")
+    same = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.__text") == F.col("b.__text")) & (F.col("b.__seq") < F.col("a.seq")) & (T.box_overlap("a.bbox", "b.__box") > 0)
+    return a.join(b, same, "left_anti").drop("__text")
+
+
+def captions_of_texts(lines: DataFrame) -> DataFrame:
+    """lines (page_id, seq, bbox, text) that are captions, with caption_id, kind and label."""
+    order = Window.partitionBy("page_id").orderBy("seq")
+    rows = lines.withColumns({"kind": T.caption_kind("text"), "label": T.caption_label("text")}).where("kind IS NOT NULL")
+    return rows.withColumn("caption_id", F.concat(F.lit("c"), F.row_number().over(order).cast("string")))
+
+
+def upstream_captions(regions: DataFrame, captions: DataFrame) -> DataFrame:
+    """regions (page_id, region_id, caption) with caption_id: the first caption whose text the region's caption contains."""
+    rows = regions.join(captions.select("page_id", "seq", F.col("caption_id").alias("__id"), T.strip("text").alias("__text")), "page_id").where(F.contains("caption", F.col("__text")))
+    first = rows.groupBy("page_id", "region_id").agg(F.min_by("__id", "seq").alias("caption_id"))
+    return regions.drop("caption_id").join(first, ["page_id", "region_id"], "left")
+
+
+def pages_in_range(pages: DataFrame, processed: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_no) that were processed: whole numbers of pages that there are, once each."""
+    wanted = processed.select("doc_id", F.explode(F.array_distinct("processed_pages")).alias("page_no"))
+    return pages.join(wanted, ["doc_id", "page_no"], "left_semi")
