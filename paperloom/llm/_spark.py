@@ -31,6 +31,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all results: for long sessions, once the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(workspace(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(path):
+        if entry.getPath().getName().startswith("paperloom-"):
+            fs.delete(entry.getPath(), True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM find that the shuffles of finished steps are unused, so that Spark deletes their files."""
     spark.sparkContext._jvm.System.gc()

@@ -10,6 +10,7 @@ from .line_dedup import op3_line_dedup
 from .quality_classifier import op9_quality_classifier
 from .secret_scan import op7_secret_scan
 from .simhash import op4_simhash_near_dedup
+from .sql import ORACLE_SQL
 from .substring_dedup import op1_substring_dedup
 from .topk_search import op8_topk_search
 
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
