@@ -37,8 +37,11 @@ def work_list(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFr
 
 def select_backend(formats: DataFrame, backends: DataFrame, fallback: str = "simple") -> DataFrame:
     """format, backend: of the available backends that support it (null formats: all) the one of least priority number."""
-    met = formats.join(F.broadcast(backends), backends["available"] & (backends["formats"].isNull() | F.array_contains(backends["formats"], formats["format"])), "left")
-    return met.groupBy("format").agg(F.coalesce(F.min_by("name", "priority"), F.lit(fallback)).alias("backend"))
+    usable = backends.where("available").select(F.struct("priority", "name").alias("best"), "formats")
+    named = usable.select(F.explode("formats").alias("format"), "best").groupBy("format").agg(F.min("best").alias("__named"))
+    general = usable.where("formats IS NULL").agg(F.min("best").alias("__general"))  # one row
+    best = F.least("__named", "__general")
+    return formats.join(named, "format", "left").join(F.broadcast(general)).select("format", F.coalesce(best["name"], F.lit(fallback)).alias("backend"))
 
 
 def answer(requests: DataFrame, cache: DataFrame, ask=None) -> DataFrame:
