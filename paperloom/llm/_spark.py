@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a key filter: at most 2**24 / 64 rows of 16 bytes, 4 MB, whatever the input holds.
 FILTER_BITS = 1 << 24
+#: Bytes of an Arrow batch (a longer text is a batch of its own), so that memory doesn't depend on rows' lengths.
+BATCH_BYTES = 8 << 20
 
 
 def workspace(spark: SparkSession) -> str:
@@ -23,6 +25,13 @@ def workspace(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of at most BATCH_BYTES go to Python, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB"):  # the default
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: its lineage is cut and a lost executor loses none of it."""
     spark = df.sparkSession

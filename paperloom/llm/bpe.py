@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import bounded_batches
 from ._text import ranges
 
 _NO = np.int64(1 << 62)
 _PLACE_BITS = 24
 #: Most words a worker remembers, and their most characters; other words are encoded anew in each slice of a batch.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 _SLICE = 256
 #: Rows times leaves of the trees that are worked on together.
 _CELLS = 1 << 21
@@ -252,6 +253,7 @@ def bpe_encode(documents: DataFrame, tokenizer: str, text_col: str = "text", car
     A null or empty text has no ids and decodes to an empty text; rows keep their multiplicity; other columns are carried
     along as they are; an empty table gives an empty result. A text is held whole in one task.
     """
+    bounded_batches(documents.sparkSession)
     carry = documents.columns if carry is None else carry
     model = documents.sparkSession.sparkContext.broadcast(Bpe(tokenizer))
     names = [f"c{k}" for k in range(len(carry))]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import stored
+from ._spark import bounded_batches, stored
 from ._text import ALNUM_WORD, LOWER, blocks, column_bytes, ranges, word_bounds, word_hashes
 
 #: Most characters of phrases that one compiled block holds (and a broadcast carries); more phrases make more passes.
@@ -277,6 +277,7 @@ def find_phrases(documents: DataFrame, phrases: DataFrame, text_col: str = "text
     """
     carry = documents.columns if carry is None else carry
     spark = documents.sparkSession
+    bounded_batches(spark)
     names = [f"c{k}" for k in range(len(carry))]
     schema = T.StructType([T.StructField(n, documents.schema[c].dataType) for n, c in zip(names, carry, strict=True)] + [T.StructField("__found", FOUND)])
     out = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(text_col).cast("string").alias("__text"))

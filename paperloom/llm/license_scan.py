@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import bounded_batches
 from ._text import ALNUM_WORD, LOWER, SpanHash, blocks, column_bytes, word_bounds, word_hashes
 
 SHINGLE, MISS = 5, 1e-6
@@ -179,6 +180,7 @@ def scan_licenses(documents: DataFrame, text_col: str = "text", carry: list[str]
     repeated rows are repeated in the result; other columns are carried along as they are; an empty table gives an empty
     result. A text is held whole in one task.
     """
+    bounded_batches(documents.sparkSession)
     carry = documents.columns if carry is None else carry
     names = [f"c{k}" for k in range(len(carry))]
     source = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(text_col).cast("string").alias("__text"))

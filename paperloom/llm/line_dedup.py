@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import key_filter, maybe_in, release, stored
+from ._spark import bounded_batches, key_filter, maybe_in, release, stored
 from ._text import SPACE_WORD, blocks, column_bytes, mix, ranges, word_bounds, word_hashes
 
 RARITY_BITS = 20
@@ -122,7 +122,9 @@ _WORD = [("word", np.uint32), ("key", np.int64), ("parity", np.uint64), ("n", np
 #: A line as it travels.
 _LINE = [("key", np.int64), ("key2", np.int32), ("id", np.int64), ("text_key", np.int64), ("line", np.int32)]
 #: Rows that a part is made for, pairs that are looked at together, and the most candidates that a line keeps for a word.
-_PART, _PAIRS, BEST, MANY = 1 << 17, 1 << 21, 8, 256
+_PART, _PAIRS, BEST, MANY = 1 << 17, 1 << 19, 8, 256
+#: Rows of a word beyond which its pairs are looked for by bands of the parity vectors.
+HOT_WORD = 4096
 
 
 def _pack(rows: dict[str, np.ndarray], a: int, b: int) -> bytes:
@@ -289,6 +291,45 @@ def _later_copies(packed: list[bytes]) -> pa.Table:
     return _result("copy", int(later.sum()), id=rows["id"][later], text_key=rows["text_key"][later], line=rows["line"][later])
 
 
+def _meeting(rows: np.ndarray, group: np.ndarray, n: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group whose lengths allow the similarity; the rows come in the order of group and length n."""
+    at = group << 31
+    count = np.searchsorted(at | n, at | np.minimum(q * n // p, (1 << 31) - 1), "right") - np.arange(len(n)) - 1
+    ends, first = np.cumsum(count), 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _PAIRS, "right")))
+        yield np.repeat(rows[first:last], count[first:last]), rows[ranges(np.arange(first, last) + 1, count[first:last])]
+        first = last
+
+
+def _pairs(word: np.ndarray, n: np.ndarray, parity: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows with one word that can be similar by length, a block at a time, each pair once.
+
+    A word of more than HOT_WORD rows is divided further: the parity vectors of similar sets differ in at most d bits, so of
+    d + 1 bands of them one at least is the same; rows meet where a band is, and a pair counts in the first band that it shares.
+    """
+    size = np.bincount(word, minlength=1) if len(word) else np.zeros(1, np.int64)
+    cold = np.flatnonzero(size[word] <= HOT_WORD)
+    yield from _meeting(cold, word[cold], n[cold], p, q)
+    for w in np.flatnonzero(size > HOT_WORD).tolist():
+        rows = np.flatnonzero(word == w)
+        bands = int(2 * n[rows].max() * (q - p) // (q + p)) + 1
+        if bands > 16:  # bands of fewer than four bits divide little
+            yield from _meeting(rows, word[rows], n[rows], p, q)
+            continue
+        edges = [64 * k // bands for k in range(bands + 1)]
+        mask = [_U(((1 << (b - a)) - 1) & 0xFFFFFFFFFFFFFFFF) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for k in range(bands):
+            value = np.unique(parity[rows] >> _U(edges[k]) & mask[k], return_inverse=True)[1]
+            order = np.lexsort((n[rows], value))
+            for a, b in _meeting(rows[order], value[order], n[rows][order], p, q):
+                apart = parity[a] ^ parity[b]
+                new = np.ones(len(a), bool)
+                for j in range(k):
+                    new &= (apart >> _U(edges[j]) & mask[j]) != 0
+                yield a[new], b[new]
+
+
 def _meet(p: int, q: int, wanted):
     """What the rows of a part have in common: `copy` rows of a part of lines; of a part of words, the most promising earlier
     lines of each line for each word (kind `pair`) and the words at which such a list was cut (`cut`); wanted: of the lines in this
@@ -307,15 +348,9 @@ def _meet(p: int, q: int, wanted):
         where_ = _occurrence(key, rows["id"], rows["line"])
         when = np.empty(len(n), np.int64)
         when[_by_time(rows)] = np.arange(len(n))
-        meeting = np.cumsum(np.append(0, rows["word"][1:] != rows["word"][:-1])) << 31
-        count = np.searchsorted(meeting | n, meeting | np.minimum(q * n // p, (1 << 31) - 1), "right") - np.arange(len(n)) - 1
-        ends = np.cumsum(count)
         found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
-        first, all_ = 0, np.zeros(len(n), np.int64)
-        while first < len(n):
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _PAIRS, "right")))
-            a = np.repeat(np.arange(first, last), count[first:last])
-            b = ranges(np.arange(first, last) + 1, count[first:last])
+        all_ = np.zeros(len(n), np.int64)
+        for a, b in _pairs(np.cumsum(np.append(0, rows["word"][1:] != rows["word"][:-1])), n, parity, p, q):
             need = -(-p * (n[a] + n[b]) // (p + q))
             ok = (place[a] <= n[a] - need) & (place[b] <= n[b] - need)
             a, b, need = a[ok], b[ok], need[ok]
@@ -328,7 +363,6 @@ def _meet(p: int, q: int, wanted):
                 all_ += np.bincount(later, minlength=len(n))
                 later, earlier, bits, most = _best(later, earlier, bits, most, when)
             found.append((later, earlier, bits, most))
-            first = last
         later, earlier, bits, most = (np.concatenate(x) for x in zip(*found, strict=True))
         if wanted is not None:
             ok = _in_bitmap(wanted.value, key[later])
@@ -430,6 +464,7 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("similarity must be over 0 and at most 1")
     p, q = t.numerator, t.denominator
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = _keyed(documents, id_col, text_col)
     counts = word_rarity(documents, text_col)
     # ranks of 20 bits in the order of the counts: their float32 patterns without the last bits

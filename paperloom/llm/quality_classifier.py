@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import bounded_batches
 from ._text import SPACE_WORD, blocks, column_bytes, mix, ranges, word_bounds, word_hashes
 
 _U = np.uint64
@@ -135,6 +136,7 @@ def score_quality(documents: DataFrame, model: QualityModel, text_col: str = "te
     Null and empty texts get the score of the bias; repeated rows are scored alike; other columns are carried along as they
     are; an empty table gives an empty result.
     """
+    bounded_batches(documents.sparkSession)
     carry = documents.columns if carry is None else carry
     names = [f"c{k}" for k in range(len(carry))]
     source = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(text_col).cast("string").alias("__text"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stored
+from ._spark import bounded_batches, stored
 from ._text import column_bytes
 
 KINDS = ("assign", "access", "hex")
@@ -101,6 +101,7 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no candidates; a row without an id is scanned like any other; repeated rows are repeated in the
     result; other columns are ignored; an empty table gives an empty result. A text is held whole in one task.
     """
+    bounded_batches(documents.sparkSession)
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if repository is None else repository
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))

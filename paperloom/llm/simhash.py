@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import key_filter, maybe_in, release, stored
+from ._spark import bounded_batches, key_filter, maybe_in, release, stored
 from ._text import column_bytes
 from .components import connected_components, local_components, spanning_links
 
@@ -195,6 +195,7 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have fingerprint zero, which is linked like any other; null ids count in no minimum, so that a
     group of rows without ids has group null; repeated rows are repeated in the result; an empty table gives an empty one.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     marks = stored(docs.mapInArrow(_fingerprints(shingle), "id long, text_key long, fingerprint long"))
     values = stored(marks.groupBy("fingerprint").agg(F.min("id").alias("first")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import key_filter, maybe_in, release, stored
+from ._spark import bounded_batches, key_filter, maybe_in, release, stored
 from ._text import SPACE_WORD, SpanHash, blocks, column_bytes, ranges, sliding_min, word_bounds, word_hashes
 
 _PIECES = "anchor long, piece long, id long, text_key long, start int, edges int"
@@ -149,6 +149,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if not 0 < anchor <= window:
         raise ValueError("anchor must be from 1 to window")
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     found = stored(repeated_pieces(docs, window, anchor).groupBy("id", "text_key").agg(F.array_distinct(F.collect_list(F.struct("start", "edges", "source_id", "source_start"))).alias("spans")))
     release(docs.sparkSession)

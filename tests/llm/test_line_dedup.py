@@ -36,8 +36,9 @@ def corpus(seed, n=25, short=False):
     return [*rows, (100, None, "", "", 0), (101, "", "", "", 0), (102, "\n \n", "", "", 0), (103, rows[0][1], "", "", 0), (None, rows[0][1], "", "", 0)]
 
 
-@pytest.mark.parametrize("seed, short, best", [(1, False, 8), (2, True, 8), (3, False, 1), (4, True, 1)])
-def test_query_against_brute_force(spark, tmp_path, monkeypatch, seed, short, best):
+@pytest.mark.parametrize("seed, short, best, hot", [(1, False, 8, 4096), (2, True, 8, 3), (3, False, 1, 2), (4, True, 1, 4096)])
+def test_query_against_brute_force(spark, tmp_path, monkeypatch, seed, short, best, hot):
+    monkeypatch.setattr(D, "HOT_WORD", hot)
     monkeypatch.setattr(D, "BEST", best)
     monkeypatch.setattr(D, "MANY", 256 if best > 1 else 1)
     rows = corpus(seed, short=short)
