@@ -152,3 +152,14 @@ def test_incremental(spark, folder, tmp_path):
     q = unique.writeStream.format("memory").queryName("unique_requests").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.key for r in spark.table("unique_requests").collect()) == ["a", "b"]
+
+
+def test_command(spark, folder, tmp_path, capsys):
+    from paperloom.__main__ import main
+
+    assert main(["convert", folder, "--out", f"{tmp_path}/out", "--split", "2", "--end-page", "2"]) == 2
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"schema_version": "1.0", "status": "partial", "documents": {"complete": 4, "failed": 2}}
+    assert spark.read.parquet(f"{tmp_path}/out/chunks").where("last_page > 2").count() == 0
+    assert spark.read.json(f"{tmp_path}/out/markdown").count() == 4
+    with pytest.raises(SystemExit):
+        main(["convert", folder, "--out", "x", "--split", "0"])
