@@ -5,7 +5,8 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 1. quality: documents that the classifier rejects go.
 2. lines: lines that an earlier line matches go from the texts; documents stay, n_chars follows.
-3. near_duplicates: of each group of near-duplicates the document with the smallest id stays.
+3. near_duplicates: of each group of documents that a Jaccard similarity of 0.8 or more on five-word shingles connects, the one
+   with the smallest id stays.
 4. decontamination: documents contaminated with benchmark passages go.
 5. tokens: doc_id, n_tokens, ids (array<int>) and decoded text of what is left.
 """
@@ -22,7 +23,7 @@ from paperloom.llm.bpe import bpe_encode
 from paperloom.llm.decontamination import decontaminate
 from paperloom.llm.line_dedup import drop_repeated_lines
 from paperloom.llm.quality_classifier import is_held_out, score_quality, train_quality
-from paperloom.llm.simhash import drop_near_duplicates
+from paperloom.llm.shingle_dedup import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,8 +56,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pending = []
     if pending:
         counts += np.bincount(np.concatenate(pending), minlength=len(counts))
+    yield _packed_counts(counts)
+
+
+def _packed_counts(counts: np.ndarray) -> pa.RecordBatch:
     packed = [zlib.compress(counts[k : k + _CHUNK].tobytes(), 1) for k in range(0, len(counts), _CHUNK)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed), dtype=np.int32)), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed), dtype=np.int32)), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +75,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_rarity(documents: DataFrame, text_col: str) -> np.ndarray:
     """How many words of all texts fall in each of the 2**RARITY_BITS bins."""
-    parts = documents.select(F.col(text_col).cast("string")).mapInArrow(_count, "chunk int, counts binary")
+    return _summed_counts(documents.select(F.col(text_col).cast("string")).mapInArrow(_count, "chunk int, counts binary"))
+
+
+def _summed_counts(parts: DataFrame) -> np.ndarray:
     rows = parts.repartition("chunk").mapInArrow(_add, "chunk int, counts binary").collect()  # at most 64 chunks
     out = np.zeros(1 << RARITY_BITS, np.int64)
     for r in rows:

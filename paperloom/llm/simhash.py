@@ -208,10 +208,16 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """documents with one row of each group of simhash_groups: the one with the smallest id (ties: the smallest text key)."""
-    marks = stored(simhash_groups(documents, id_col, text_col, **options))
-    keys = marks.groupBy("group", "id", "text_key").agg(F.count("*").alias("n"))
-    best = marks.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
-    judged = keys.join(best, keys["group"].eqNullSafe(best["group"])).select("id", "text_key", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))).alias("__stays"))
+    marks = simhash_groups(documents, id_col, text_col, **options)
+    return keep_first(documents, marks.withColumnRenamed("group", "root"), id_col, text_col)
+
+
+def keep_first(documents: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """documents with one row of each group; marks has a row (id, text_key, root) for each document, root naming its group."""
+    marks = stored(marks.select("id", "text_key", "root"))
+    keys = marks.groupBy("root", "id", "text_key").agg(F.count("*").alias("n"))
+    best = marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
+    judged = keys.join(best, keys["root"].eqNullSafe(best["root"])).select("id", "text_key", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))).alias("__stays"))
     others = stored(judged.where("NOT __stays OR n > 1"))
     release(documents.sparkSession)
     rows = documents.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.xxhash64(F.col(text_col)))
