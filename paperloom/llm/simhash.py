@@ -195,6 +195,11 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have fingerprint zero, which is linked like any other; null ids count in no minimum, so that a
     group of rows without ids has group null; repeated rows are repeated in the result; an empty table gives an empty one.
     """
+    return _rooted(documents, id_col, text_col, shingle, radius).select("id", "text_key", "fingerprint", "group")
+
+
+def _rooted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of simhash_groups with root, a fingerprint of the component: unlike group it is never null."""
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     marks = stored(docs.mapInArrow(_fingerprints(shingle), "id long, text_key long, fingerprint long"))
@@ -203,21 +208,20 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = values.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     rooted = stored(rooted)
     groups = rooted.groupBy("root").agg(F.min("first").alias("group"))
-    return marks.join(rooted.join(groups, "root").select("fingerprint", "group"), "fingerprint").select("id", "text_key", "fingerprint", "group")
+    return marks.join(rooted.join(groups, "root").select("fingerprint", "group", "root"), "fingerprint").select("id", "text_key", "fingerprint", "group", "root")
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """documents with one row of each group of simhash_groups: the one with the smallest id (ties: the smallest text key)."""
-    marks = simhash_groups(documents, id_col, text_col, **options)
-    return keep_first(documents, marks.withColumnRenamed("group", "root"), id_col, text_col)
+    return keep_first(documents, _rooted(documents, id_col, text_col, **options), id_col, text_col)
 
 
 def keep_first(documents: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """documents with one row of each group; marks has a row (id, text_key, root) for each document, root naming its group."""
+    """documents with one row of each group; marks has a row (id, text_key, root) for each document, root (never null) naming its group."""
     marks = stored(marks.select("id", "text_key", "root"))
     keys = marks.groupBy("root", "id", "text_key").agg(F.count("*").alias("n"))
     best = marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
-    judged = keys.join(best, keys["root"].eqNullSafe(best["root"])).select("id", "text_key", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))).alias("__stays"))
+    judged = keys.join(best, "root").select("id", "text_key", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))).alias("__stays"))
     others = stored(judged.where("NOT __stays OR n > 1"))
     release(documents.sparkSession)
     rows = documents.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.xxhash64(F.col(text_col)))

@@ -81,3 +81,9 @@ def test_one_document_of_each_group_stays(spark):
     kept = D.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
     assert D.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_unrelated_texts_without_ids_stay(spark):
+    rows = [(None, "a b c d"), (None, "p q r s t"), (None, "p q r s t"), (None, "x y z"), (7, "k l m n"), (None, "K l m n")]
+    kept = D.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, "a b c d"), (None, "p q r s t"), (None, "x y z"), (7, "k l m n")], key=str)
