@@ -2,10 +2,11 @@
 
 Templates are a small table of notices. A document's words are read as shingles of five; for each size class of templates
 the shingles are cut to blocks, and a window is a few consecutive blocks, moved on by one block, so that any passage as
-long as a template lies whole in some window. For each band the window's least hash is compared with the templates'; a
+long as a template and half of it lies whole in some window. For each band the window's least hash is compared with the templates'; a
 band is one MinHash value. The number of bands follows from the class: a window that holds `containment` of a template's
 shingles collides in at least one band with probability 1 - MISS or more (the windows' size bounds the Jaccard similarity from
-below). Windows that collide are verified: the template's distinct shingles that occur near the window are counted exactly.
+below). Windows that collide are verified: the template's distinct shingles that occur near the window are counted exactly, in
+runs without large gaps and in passages of up to that length.
 
 One scan, no shuffle; the templates go along with the tasks.
 """
@@ -74,13 +75,13 @@ class Templates:
                 self.names.append(name)
                 self.sets.append(np.unique(values))
                 sizes.append(len(values))
-        self.classes = []
+        self.sizes, self.classes = sizes, []
         classes: dict[int, list[int]] = {}
         for k, size in enumerate(sizes):
             classes.setdefault(max(0, math.ceil(math.log2(size)) - 1), []).append(k)
         for c, members in sorted(classes.items()):
             block, longest = 1 << c, max(sizes[k] for k in members)
-            width = -(-(longest - 1) // block) + 1
+            width = -(-(self.reach(longest) - 1) // block) + 1
             # the template's distinct shingles in the window, over those of both
             least = min(math.ceil(self.share * len(self.sets[k])) / (width * block + len(self.sets[k]) - math.ceil(self.share * len(self.sets[k]))) for k in members)
             bands = 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
@@ -89,6 +90,11 @@ class Templates:
             least_of = np.array([[self._hash(self.sets[k], f).min() for k in members] for f in factors])
             self.classes.append((block, width, longest, np.array(members), factors, least_of))
 
+    @staticmethod
+    def reach(size: int) -> int:
+        """Shingles of the longest passage that is looked at as a whole for a template of so many: inserted words lengthen it."""
+        return size + size // 2
+
     @staticmethod
     def _hash(values: np.ndarray, factor: np.uint32) -> np.ndarray:
         x = ((values >> np.uint64(32)).astype(np.uint32) ^ values.astype(np.uint32)) * factor
@@ -124,7 +130,7 @@ class Templates:
             length, longest = spans[k]
             a, b = bounds[doc] + max(0, start - longest), min(bounds[doc + 1], bounds[doc] + start + length + longest)
             at = np.flatnonzero(np.isin(values[a:b], self.sets[k]))
-            for x, y, n in self._passages(at, values[a:b], len(self.sets[k]), longest):
+            for x, y, n in self._passages(at, values[a:b], len(self.sets[k]), longest, self.reach(self.sizes[k])):
                 found.setdefault((doc, k), []).append((int(a - bounds[doc]) + x, int(a - bounds[doc]) + y, n / len(self.sets[k])))
         out = []
         for (doc, k), own in found.items():
@@ -132,15 +138,47 @@ class Templates:
                 out.append((doc, k, x, y, share))
         return out
 
-    def _passages(self, at: np.ndarray, values: np.ndarray, size: int, longest: int) -> Iterator[tuple[int, int, int]]:
-        """Runs of the template's shingles, none further apart than a fifth of it, that hold enough of it."""
+    def _passages(self, at: np.ndarray, values: np.ndarray, size: int, longest: int, reach: int) -> Iterator[tuple[int, int, int]]:
+        """Passages that hold enough of the template: runs of its shingles, none further apart than a fifth of it, and between
+        such runs the best stretches of at most `reach` shingles, whatever their gaps."""
         if not len(at):
             return
         gap = max(1, longest // 5 + 1)
+        rest: list[np.ndarray] = []
         for part in np.split(at, np.flatnonzero(np.diff(at) > gap) + 1):
             n = len(np.unique(values[part]))
-            if n * self.share.denominator >= self.share.numerator * size:
+            if self._enough(n, size):
                 yield int(part[0]), int(part[-1]) + 1, n
+                yield from self._stretches(rest, values, size, reach)
+                rest = []
+            else:
+                rest.append(part)
+        yield from self._stretches(rest, values, size, reach)
+
+    def _enough(self, n: int, size: int) -> bool:
+        return n * self.share.denominator >= self.share.numerator * size
+
+    def _stretches(self, parts: list[np.ndarray], values: np.ndarray, size: int, reach: int) -> Iterator[tuple[int, int, int]]:
+        if len(parts) < 2 or not self._enough(len(np.unique(values[np.concatenate(parts)])), size):
+            return
+        at = np.concatenate(parts)
+        where, own = at.tolist(), values[at].tolist()
+        inside: dict[int, int] = {}
+        found, first = [], 0
+        for last, value in enumerate(own):  # the stretch that ends at each shingle, without what repeats at its start
+            inside[value] = inside.get(value, 0) + 1
+            while where[last] - where[first] >= reach or inside[own[first]] > 1:
+                inside[own[first]] -= 1
+                if not inside[own[first]]:
+                    del inside[own[first]]
+                first += 1
+            if self._enough(len(inside), size):
+                found.append((-len(inside), where[last] - where[first], where[first], where[last] + 1))
+        kept: list[tuple[int, int]] = []
+        for n, _, x, y in sorted(found):  # of those that overlap, the one that holds most
+            if all(y <= c or d <= x for c, d in kept):
+                kept.append((x, y))
+                yield x, y, -n
 
 
 _MATCHES = "array<struct<license:string,start:int,end:int,containment:double>>"
@@ -173,8 +211,8 @@ def _finder(templates: Templates, n_carried: int):
 def scan_licenses(documents: DataFrame, text_col: str = "text", carry: list[str] | None = None, templates: list[tuple[str, str]] | None = None, containment: float = 0.8) -> DataFrame:
     """documents' columns (or those in carry) and `__matches`: license, start, end (words, end exclusive), containment.
 
-    A match is a passage with at least `containment` of the distinct five-word shingles of a template, A-Z counting as a-z
-    and words being `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; of overlapping matches of one license the longest stays.
+    A match is a passage with at least `containment` of the distinct five-word shingles of a template, be it at most half as
+    long again as the template (in shingles) or without a gap of over a fifth of it between them; A-Z counting as a-z and words being `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; of overlapping matches of one license the longest stays.
 
     Null and empty texts and texts of fewer than five words match nothing; templates of fewer than five words are ignored;
     repeated rows are repeated in the result; other columns are carried along as they are; an empty table gives an empty

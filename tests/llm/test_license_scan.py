@@ -1,3 +1,4 @@
+import random
 import re
 
 from helpers import documents
@@ -34,3 +35,29 @@ def test_nulls_short_texts_own_templates_and_columns(spark):
     assert done.columns == [*docs.columns, "__matches"]
     assert sorted([len(r["__matches"]) for r in done.collect()]) == [0, 0, 0, 1, 1]
     assert D.scan_licenses(docs.limit(0)).count() == 0 and D.scan_licenses(docs, templates=[]).count() == 5
+
+
+def test_inserted_words_against_windowed_containment(spark):
+    r = random.Random(2)
+    isc = dict(D.TEMPLATES)["ISC"]
+    shingles = lambda t: [tuple(w[k : k + 5]) for w in [WORD.findall(t.lower())] for k in range(len(w) - 4)]
+    names, rows = [("ISC", isc), ("MIT", D.TEMPLATES[5][1]), ("BSD-3-Clause", dict(D.TEMPLATES)["BSD-3-Clause"])], [(0, isc.replace("this software", "this software and its documentation"), "", "", 0)]
+    for k in range(1, 90):
+        words = names[k % 3][1].split()
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(words))
+            words[at:at] = [f"i{r.randrange(99)}" for _ in range(r.randrange(1, 9))]
+        rows.append((k, f"{'x ' * r.randrange(60)}{' '.join(words)}{' z' * r.randrange(60)}", "", "", 0))
+    got = {x.doc_id: {m.license for m in x["__matches"]} for x in D.scan_licenses(documents(spark, rows), templates=names).collect()}
+    assert got[0] == {"ISC"}
+    inside = 0
+    for doc, text, *_ in rows:
+        own = shingles(text)
+        for name, template in names:
+            want, n = set(shingles(template)), len(shingles(template))
+            if any(5 * len(want & set(own[k : k + n + n // 2])) >= 4 * len(want) for k in range(len(own))):
+                inside += 1
+                assert name in got[doc], (doc, name)
+            elif name in got[doc]:
+                assert 5 * len(want & set(own)) >= 4 * len(want)
+    assert inside > 30
