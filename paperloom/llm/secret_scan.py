@@ -108,7 +108,7 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = "id long, repository string, owner string, row long, " + _FOUND.partition("row long, ")[2]
     scanned = stored(rows.mapInArrow(_finder, kind))
     each = scanned.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("x")).select("row", "repository", "owner", "x.*")
-    each = each.where("kind <> 'hex' OR live").select("row", "repository", "owner", "value_start", "value_end", "hash", "live").distinct()
+    each = each.select("row", "repository", "owner", "value_start", "value_end", "hash", "live").distinct()
     by_owner = each.groupBy("hash", "owner", "repository").agg(F.lit(1)).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     counts = stored(by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners")))
     judged = each.join(counts, "hash").where((F.col("owners") >= shared_owners) | F.col("live"))

@@ -41,3 +41,9 @@ def test_ownership_separates_copies_from_live_values(spark):
     got = {r.id: [(x.kind, x.repositories, x.owners) for x in r.extra or ()] for r in D.scan_secrets(docs).collect()}
     assert got == {1: [("shared", 2, 2)], 2: [("shared", 2, 2)], 3: [("live", 2, 1)], 4: [("live", 2, 1)], 5: []}
     assert D.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_shared_values_need_not_look_live(spark):
+    docs = spark.createDataFrame([(1, "n 1234567890123456 n", "en", "a"), (2, "n 1234567890123456 n", "en", "b"), (3, "n 6543210987654321 n", "en", "a"), (4, "n abcdefabcdefabcdef n", "en", "a"), (5, "n abcdefabcdefabcdef n", "de", "c")], "doc_id long, text string, lang string, source string")
+    got = {r.id: [(x.kind, x.start, x.end, x.repositories, x.owners) for x in r.extra or ()] for r in D.scan_secrets(docs).collect()}
+    assert got == {1: [("shared", 2, 18, 2, 2)], 2: [("shared", 2, 18, 2, 2)], 3: [], 4: [("shared", 2, 20, 2, 2)], 5: [("shared", 2, 20, 2, 2)]}
