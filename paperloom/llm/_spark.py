@@ -15,14 +15,14 @@ BATCH_BYTES = 8 << 20
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("paperloom.workspace", None)
+    """This application's folder for intermediate tables, below the shared spark.checkpoint.dir; a temporary one if that is unset and
+    everything runs on this machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("paperloom.workspace", folder)
-    return folder.rstrip("/")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/paperloom-{spark.sparkContext.applicationId}"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -35,18 +35,27 @@ def bounded_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: its lineage is cut and a lost executor loses none of it."""
     spark = df.sparkSession
-    path = f"{workspace(spark)}/paperloom-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._paperloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored() tables that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._paperloom_path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete the intermediate tables of all results: for long sessions, once the results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(workspace(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in fs.listStatus(path):
-        if entry.getPath().getName().startswith("paperloom-"):
-            fs.delete(entry.getPath(), True)
+    """Delete all intermediate tables of this application: for long sessions, once the results are written."""
+    _delete(spark, workspace(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
