@@ -32,11 +32,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+#: Spark's setting that a command's shuffle files go when the command is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: its lineage is cut and a lost executor loses none of it."""
+    """df written to the shared folder as Parquet and read again: its lineage is cut and a lost executor loses none of it. The
+    shuffles that made it are deleted at once."""
     spark = df.sparkSession
-    path = f"{workspace(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{workspace(spark)}/{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
     return out
@@ -58,11 +67,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver's JVM find that the shuffles of finished steps are unused, so that Spark deletes their files."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def key_filter(df: DataFrame, *keys: str) -> DataFrame:
     """A bitmap of hashed keys of bounded size, to broadcast. See maybe_in."""
     bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
@@ -78,3 +82,25 @@ def maybe_in(df: DataFrame, bitmap: DataFrame, *keys: str) -> DataFrame:
     out = df.withColumn("__word", F.shiftright(bit, 6)).withColumn("__bit", (bit.bitwiseAND(F.lit(63))).cast("int"))
     out = out.join(F.broadcast(bitmap), "__word", "left")
     return out.withColumn("__maybe", F.coalesce(F.expr("(shiftright(__bits, __bit) & 1L) = 1L"), F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def beside(columns: list[str], *added: str) -> list[str]:
+    """Names for carried columns beside added ones: a column with the name of an added one gets underscores in front."""
+    out, taken = [], {*columns, *added}
+    for c in columns:
+        if c in added:
+            while c in taken:
+                c = "_" + c
+            taken.add(c)
+        out.append(c)
+    return out
+
+
+def numbered(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """df's columns as c0, c1 ..., so that their own names clash with nothing."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns if columns is None else columns)])
+
+
+def renamed(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """c0, c1 ... of df under the given names, and more of its columns as they are."""
+    return df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], *more)

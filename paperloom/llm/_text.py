@@ -10,8 +10,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 19
+#: Bytes from which a word's value is its XXH64: sums of powers modulo 2**64 agree for some regular strings of a thousand letters.
+LONG_WORD = 128
 
 _U = np.uint64
 _BASE_BYTE = _U(0x9E3779B97F4A7C15 | 1)
@@ -110,11 +113,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     up, down = _byte_powers.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum(_BYTE_VALUE[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    out = mix((sums[ends] - sums[starts]) * down[starts])
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The block's words with single bytes between them (spaces, inside a document), and their bounds there."""
+    inside = is_word[data]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]  # and the byte after each word
+    place = np.cumsum(keep) - 1
+    out = np.where(inside, data, np.uint8(0x20))[keep].tobytes()
+    return out, place[starts], place[ends - 1] + 1
 
 
 class SpanHash:
-    """64-bit values of spans of words, from the words' values."""
+    """64-bit values of spans of some dozens of words, from the words' values."""
 
     def __init__(self, words: np.ndarray) -> None:
         up, self.down = _word_powers.get(len(words) + 1)

@@ -50,3 +50,31 @@ def test_empty_table_and_clashing_columns(spark):
     assert substring_dedup(empty).count() == 0
     clash = documents(spark, corpus(2, 5)).selectExpr("*", "1 AS id", "2 AS text_key", "'x' AS spans", "3 AS start")
     assert substring_dedup(clash).count() == 12
+
+
+def thue_morse(a, b, n):
+    return [b if bin(k).count("1") % 2 else a for k in range(n)]
+
+
+def test_regular_strings_are_told_apart(spark):
+    """Words and sequences of words for which sums of powers modulo 2**64 agree."""
+    one, other = "".join(thue_morse("a", "b", 2048)), "".join(thue_morse("b", "a", 2048))
+    tail = [f"t{k}" for k in range(49)]
+    rows = [(1, " ".join([one, *tail])), (2, " ".join([other, *tail])), (3, " ".join(thue_morse("x", "y", 2048))), (4, " ".join(thue_morse("y", "x", 2048)))]
+    done = substring_dedup(documents(spark, [(i, t, "", "", 0) for i, t in rows]))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in done.collect())
+    assert got == brute(rows) and got[1][2] == 0
+
+
+def test_spans_that_differ_from_their_source_are_kept(spark):
+    """Should values of pieces agree by chance, the words decide."""
+    import pyarrow as pa
+
+    from paperloom.llm import substring_dedup as D
+
+    span = {"start": 0, "end": 3, "source_id": 1, "source_start": 4}
+    spans = [[span | {"digest": D._digest([b"a", b"b", b"c"])}], [span | {"digest": D._digest([b"a", b"b", b"x"])}]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32()), ("digest", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([2, 3]), pa.array([0, 0]), pa.array(["a b c d"] * 2), pa.array(spans, kind)], names=["id", "text_key", "text", "spans"])
+    done = pa.Table.from_batches(D._keep(iter([batch]))).to_pylist()
+    assert [(r["n_removed"], r["kept_text"], r["spans"]) for r in done] == [(3, "d", [span]), (0, "a b c d", [])]
