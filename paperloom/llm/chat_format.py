@@ -82,41 +82,53 @@ def read_turn(formatted: str) -> tuple[str, str]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of conversations whose turns arrive in order; only the open conversation's hash states are kept."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    begun, open_, done = False, None, []
+    """Digests of conversations whose turns arrive in order, each before the example that it closes; only the open
+    conversation's hash states and last turn are kept. What is trainable is read from the examples alone."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "example_chars"]
+    begun, open_, last, done = False, None, ("", 0), []
     for batch in batches:
-        for conv, formatted, start, loss_start, loss_end, trainable in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+        for conv, formatted, start, chars, loss_start, loss_end in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
             if not begun or conv != open_[0]:
                 if begun:
                     done.append(open_)
-                begun, open_ = True, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                begun, open_ = True, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+            if formatted is None:  # an example: its target is in the last turn of its prefix
+                target = unescape(last[0][loss_start - last[1] : loss_end - last[1]])
+                open_[3] += len(target)
+                open_[4].update(target.encode())
+                open_[6] += 1
+                open_[7] += chars
+                continue
             role, text = read_turn(formatted)
+            last = formatted, start
             open_[1] += 1
             open_[2].update(f"{role}\n{text}\n".encode())
-            if trainable:
-                target = unescape(formatted[loss_start - start : loss_end - start])
-                open_[3] += len(target)
-                open_[4].update(target.encode())
             open_[5] += len(formatted)
         if done:
-            yield _digests(done, names, kinds)
+            yield _digests(done, names)
             done = []
     if begun:
-        yield _digests([open_], names, kinds)
+        yield _digests([open_], names)
 
 
-def _digests(rows: list, names: list, kinds: list) -> pa.RecordBatch:
-    columns = list(zip(*[(a, b, c.hexdigest(), d, e.hexdigest(), f) for a, b, c, d, e, f in rows], strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def _digests(rows: list, names: list) -> pa.RecordBatch:
+    columns = list(zip(*[(a, b, c.hexdigest(), d, e.hexdigest(), f, g, h) for a, b, c, d, e, f, g, h in rows], strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha256" in n else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """The digests of each conversation, read back from its written turns and from the examples that they expand to.
+
+    formatted_chars counts the conversation as it is written, once; n_examples its examples, and example_chars the characters of
+    all their prefixes, written out.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     turns = format_turns(rows.unionByName(extra))
-    # format_turns leaves the rows of a conversation together and in order; the sort states it and costs nothing more
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return ordered.select("conv_id", "formatted", "start", "loss_start", "loss_end", "trainable").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    none = F.lit(None).cast("long")
+    written = turns.select("conv_id", "place", F.lit(0).alias("kind"), "formatted", "start", none.alias("chars"), none.alias("loss_start"), none.alias("loss_end"))
+    expanded = examples(turns).select("conv_id", F.col("turns").alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("formatted"), none.alias("start"), "chars", "loss_start", "loss_end")
+    ordered = written.unionByName(expanded).repartition("conv_id").sortWithinPartitions("conv_id", "place", "kind")
+    out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
+    return ordered.select("conv_id", "formatted", "start", "chars", "loss_start", "loss_end").mapInArrow(_digest, out)

@@ -53,10 +53,12 @@ FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.te
 
 _ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<\\[\\]]', '', 'g'))"
 OP5 = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, 9 + 2 * ({_ESCAPED.format("role")}) + {_ESCAPED.format("text")} AS chars FROM c),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS prefix FROM f)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(9 + 2 * ({_ESCAPED.format("role")}) + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(count(CASE WHEN role = 'assistant' THEN 1 END) AS BIGINT) AS n_examples, CAST(sum(CASE WHEN role = 'assistant' THEN prefix ELSE 0 END) AS BIGINT) AS example_chars FROM p GROUP BY conv_id
 """
 
 OP8 = f"""
