@@ -8,7 +8,8 @@ similarity t or more then share a word within the first n - ceil(t * n) + 1 of e
 2. A second scan deals the prefix words of all lines out by word, and the lines by the key of their word set. Rows of one
    batch and part travel as one packed record, so that the shuffle costs bytes and hardly any rows. The number of parts
    follows the number of words, so a part has a bounded share of the rows.
-3. In each part of lines, copies of one word set find their first. In each part of words, rows with the same word meet in
+3. Copies of one word set within a task find their first there, and the firsts of all tasks meet in a part of lines, so a line that
+   is everywhere costs a row for each task. In each part of words, rows with the same word meet in
    numpy, in order of length: length filter, positional filter, and a parity filter (a 64-bit parity vector of each set:
    differing bits can't outnumber differing words). Copies of one set count once. Each line keeps its most promising earlier
    lines for each word (BEST of them where the closest surely is close, MANY in borderline cases and for short lines), so a dense group makes
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, key_filter, maybe_in, release, stored
+from ._spark import bounded_batches, discard, key_filter, maybe_in, numbered, renamed, stored
 from ._text import SPACE_WORD, blocks, column_bytes, mix, ranges, word_bounds, word_hashes
 
 RARITY_BITS = 20
@@ -128,6 +129,8 @@ class _Lines:
 _WORD = [("word", np.uint32), ("key", np.int64), ("parity", np.uint64), ("n", np.int32), ("place", np.int32), ("id", np.int64), ("line", np.int32)]
 #: A line as it travels.
 _LINE = [("key", np.int64), ("key2", np.int32), ("id", np.int64), ("text_key", np.int64), ("line", np.int32)]
+#: A line that an earlier one of its task has the words of.
+_SETTLED = [("id", np.int64), ("text_key", np.int64), ("line", np.int32)]
 #: Rows that a part is made for, pairs that are looked at together, and the most candidates that a line keeps for a word.
 _PART, _PAIRS, BEST, MANY = 1 << 17, 1 << 19, 8, 256
 #: Rows of a word beyond which its pairs are looked for by bands of the parity vectors.
@@ -174,11 +177,23 @@ def _by_part(dealt: list[dict[str, np.ndarray]], columns: list, kind: int, sets:
     if sets is not None:
         words = pa.array([b"".join([sets[k].tobytes() for k in order[a:b].tolist()]) for a, b in zip(bounds.tolist(), ends, strict=True)], pa.binary())
         sets.clear()
-    return pa.RecordBatch.from_arrays([pa.array(part[bounds] * 2 + kind, pa.int64()), pa.array(out, pa.binary()), words], names=["part", "rows", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(part[bounds] * 4 + kind, pa.int64()), pa.array(out, pa.binary()), words], names=["part", "rows", "words"])
 
 
 def _deal(rarity, p: int, q: int, bits: int, only):
-    """Packed prefix words (even parts) and lines (odd parts); only: no lines, the words in this bitmap, and whole word sets."""
+    """Packed prefix words (kind 0 of a part), lines (1) and later copies among the lines of a task, dealt out at random (2);
+    only: no lines, the words in this bitmap, and whole word sets."""
+
+    def lines_out(copies: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows = {name: np.concatenate([x[name] for x in copies]) for name in ["part", *[name for name, _ in _LINE]]}
+        copies.clear()
+        order, later = _later(rows)
+        settled, open_ = order[later], order[~later]
+        yield _by_part([{name: v[open_] for name, v in rows.items()}], _LINE, 1)
+        if len(settled):
+            rows = {name: rows[name][settled] for name, _ in _SETTLED}
+            rows["part"] = (_occurrence(rows["text_key"], rows["id"], rows["line"]).view(_U) >> _U(64 - bits)).astype(np.int64)
+            yield _by_part([rows], _SETTLED, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, words, copies, sets = rarity.value, [], [], None if only is None else []
@@ -209,12 +224,12 @@ def _deal(rarity, p: int, q: int, bits: int, only):
                 words.append({"part": part, "word": word, "key": key[of], "parity": parity[of], "n": lines.n[of], "place": place, "id": ids[own[of]], "line": lines.number[of]})
                 if sum(len(x["word"]) for x in words) > _PART:
                     yield _by_part(words, _WORD, 0, sets)
-            if sum(len(x["key"]) for x in copies) > _PART:
-                yield _by_part(copies, _LINE, 1)
+            if sum(len(x["key"]) for x in copies) > 4 * _PART:
+                yield from lines_out(copies)
         if words and any(len(x["word"]) for x in words):
             yield _by_part(words, _WORD, 0, sets)
         if copies:
-            yield _by_part(copies, _LINE, 1)
+            yield from lines_out(copies)
 
     return run
 
@@ -287,15 +302,21 @@ def _result(kind: str, n: int, **columns: np.ndarray) -> pa.Table:
     return pa.table({"kind": pa.array([kind] * n, pa.string())} | {name: pa.array(columns[name], t) if name in columns else pa.nulls(n, t) for name, t in types.items()})
 
 
+def _later(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order of lines by word set and time, and which of them, in that order, have an earlier line of the same words."""
+    order = np.lexsort((rows["line"], rows["id"], rows["key2"], rows["key"]))
+    key, key2, id_, line = (rows[name][order] for name in ("key", "key2", "id", "line"))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return order, (id_ > id_[first]) | (line > line[first])
+
+
 def _later_copies(packed: list[bytes]) -> pa.Table:
     """Lines (kind `copy`) whose word set an earlier line has."""
     rows = _unpack(packed, _LINE)
-    order = np.lexsort((rows["line"], rows["id"], rows["key2"], rows["key"]))
-    rows = {name: v[order] for name, v in rows.items()}
-    new = np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["key2"][1:] != rows["key2"][:-1]))
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (rows["id"] > rows["id"][first]) | (rows["line"] > rows["line"][first])
-    return _result("copy", int(later.sum()), id=rows["id"][later], text_key=rows["text_key"][later], line=rows["line"][later])
+    order, later = _later(rows)
+    return _result("copy", int(later.sum()), **{name: rows[name][order[later]] for name, _ in _SETTLED})
 
 
 def _meeting(rows: np.ndarray, group: np.ndarray, n: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -312,29 +333,44 @@ def _meeting(rows: np.ndarray, group: np.ndarray, n: np.ndarray, p: int, q: int)
 def _pairs(word: np.ndarray, n: np.ndarray, parity: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows with one word that can be similar by length, a block at a time, each pair once.
 
-    A word of more than HOT_WORD rows is divided further: the parity vectors of similar sets differ in at most d bits, so of
-    d + 1 bands of them one at least is the same; rows meet where a band is, and a pair counts in the first band that it shares.
+    A word of more than HOT_WORD rows is divided further, by classes of length in the ratio of the similarity: rows of a class meet
+    those of their own and the next one. The parity vectors of similar sets differ in at most d bits, which follows from the class,
+    so of d + 1 bands of them one at least is the same; rows meet where a band is, and a pair counts in the first band that it shares.
     """
     size = np.bincount(word, minlength=1) if len(word) else np.zeros(1, np.int64)
     cold = np.flatnonzero(size[word] <= HOT_WORD)
     yield from _meeting(cold, word[cold], n[cold], p, q)
     for w in np.flatnonzero(size > HOT_WORD).tolist():
         rows = np.flatnonzero(word == w)
-        bands = int(2 * n[rows].max() * (q - p) // (q + p)) + 1
-        if bands > 16:  # bands of fewer than four bits divide little
-            yield from _meeting(rows, word[rows], n[rows], p, q)
-            continue
-        edges = [64 * k // bands for k in range(bands + 1)]
-        mask = [_U(((1 << (b - a)) - 1) & 0xFFFFFFFFFFFFFFFF) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        for k in range(bands):
-            value = np.unique(parity[rows] >> _U(edges[k]) & mask[k], return_inverse=True)[1]
-            order = np.lexsort((n[rows], value))
-            for a, b in _meeting(rows[order], value[order], n[rows][order], p, q):
-                apart = parity[a] ^ parity[b]
-                new = np.ones(len(a), bool)
-                for j in range(k):
-                    new &= (apart >> _U(edges[j]) & mask[j]) != 0
-                yield a[new], b[new]
+        edges = [int(n[rows].min())]
+        while edges[-1] <= n[rows].max():
+            edges.append(max(edges[-1] + 1, edges[-1] * q // p + 1))
+        class_ = np.searchsorted(edges, n, "right") - 1
+        for c in np.unique(class_[rows]).tolist():
+            near = rows[(class_[rows] == c) | (class_[rows] == c + 1)]
+            for a, b in _banded(near, n, parity, p, q):
+                ok = (class_[a] == c) | (class_[b] == c)
+                yield a[ok], b[ok]
+
+
+def _banded(rows: np.ndarray, n: np.ndarray, parity: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share a band of their parity vectors; all pairs of few rows, or where bands would have less than four bits."""
+    bands = int(2 * n[rows].max() * (q - p) // (q + p)) + 1
+    if bands > 16 or len(rows) <= HOT_WORD // 8:
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        yield from _meeting(rows, np.zeros(len(rows), np.int64), n[rows], p, q)
+        return
+    edges = [64 * k // bands for k in range(bands + 1)]
+    mask = [_U(((1 << (b - a)) - 1) & 0xFFFFFFFFFFFFFFFF) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    for k in range(bands):
+        value = np.unique(parity[rows] >> _U(edges[k]) & mask[k], return_inverse=True)[1]
+        order = np.lexsort((n[rows], value))
+        for a, b in _meeting(rows[order], value[order], n[rows][order], p, q):
+            apart = parity[a] ^ parity[b]
+            new = np.ones(len(a), bool)
+            for j in range(k):
+                new &= (apart >> _U(edges[j]) & mask[j]) != 0
+            yield a[new], b[new]
 
 
 def _meet(p: int, q: int, wanted):
@@ -344,8 +380,11 @@ def _meet(p: int, q: int, wanted):
 
     def run(key_: tuple, table: pa.Table) -> pa.Table:
         part, packed = key_[0].as_py(), table["rows"].to_pylist()
-        if part % 2:
+        if part % 4 == 1:
             return _later_copies(packed)
+        if part % 4 == 2:
+            rows = _unpack(packed, _SETTLED)
+            return _result("copy", len(rows["id"]), **rows)
         rows = _unpack(packed, _WORD)
         if wanted is not None:
             sets = np.split(np.frombuffer(b"".join(table["words"].to_pylist()), np.uint64), np.cumsum(rows["n"])[:-1])
@@ -383,7 +422,7 @@ def _meet(p: int, q: int, wanted):
         kept = _best(later, earlier, bits, most, when)
         cut = np.flatnonzero(all_ > np.bincount(kept[0], minlength=len(n)))
         pairs = _result("pair", len(kept[0]), key=key[kept[0]], other=key[kept[1]], apart=kept[2].astype(np.int32), own=where_[kept[0]], theirs=where_[kept[1]])
-        return pa.concat_tables([pairs, _result("cut", len(cut), key=key[cut], word=_name(np.full(len(cut), part // 2), rows["word"][cut]))])
+        return pa.concat_tables([pairs, _result("cut", len(cut), key=key[cut], word=_name(np.full(len(cut), part // 4), rows["word"][cut]))])
 
     return run
 
@@ -464,7 +503,9 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     has a row (id, text_key, n_lines) for each document. Lines are parted by line feeds and judged on the input.
 
     A null text has no lines, an empty one has one empty line; lines without words match nothing; documents without an id
-    take part in no comparison; identical rows (same id and text) are one document, and lose the same lines.
+    take part in no comparison; identical rows (same id and text) are one document, and lose the same lines; an empty table
+    gives empty results; other columns, whatever their names, are ignored. A text is held whole in one task, lines of any
+    length included. Ids are whole numbers, or text of such; any other id ends the job with Spark's CAST_INVALID_INPUT.
     """
     t = Fraction(str(similarity))
     if not 0 < t <= 1:
@@ -496,50 +537,50 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         return both.where(F.lit(p + q) * overlap >= F.lit(p) * (F.size("words") + F.size("other_words"))).select("key", "key2").distinct()
 
     found = stored(met(None, None))
-    release(spark)
     copies, cuts = found.where("kind = 'copy'").select("id", "text_key", "line"), found.where("kind = 'cut'").select("key", "word")
     pairs = stored(found.where("kind = 'pair'").groupBy("key", "other", "own", "theirs").agg(F.min("apart").alias("apart")))
-    sets = fetched(pairs)
-    whole, sets = sets.where("key IS NULL").select("id", "text_key", F.col("n").cast("long").alias("n_lines")), sets.where("key IS NOT NULL")
+    lines = fetched(pairs)
+    whole, sets = lines.where("key IS NULL").select("id", "text_key", F.col("n").cast("long").alias("n_lines")), lines.where("key IS NOT NULL")
     mine, theirs = (sets.where("n > 0").select(*[F.col(c).alias(f"{name}{c}") for c in ("key", "n", "parity")]) for name in ("", "other_"))
     apart = sum((F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("other_parity", F.lit(k)))) for k in range(8)), F.lit(0))
     need = F.expr(f"({p} * (n + other_n) + {p + q - 1}) div {p + q}")
     close = pairs.select("key", "other").join(mine, "key").join(theirs.withColumnRenamed("other_key", "other"), "other").withColumn("apart", apart)
     close = stored(close.where(F.col("apart") <= F.col("n") + F.col("other_n") - 2 * need).select("key", "other", "apart"))
+    discard(pairs)
     best = stored(close.groupBy("key").agg(F.min(F.struct("apart", "other")).alias("best")).select("key", F.col("best.other").alias("other")))
-    similar = stored(alike(best, sets))
-    release(spark)
-    failed = stored(close.join(best, ["key", "other"], "left_anti").join(similar, "key", "left_anti").select("key", "other"))
-    similar = stored(similar.union(alike(failed, sets)))
-    lines = [sets.join(similar, ["key", "key2"]).select("id", "text_key", "line")]
+    likely = stored(alike(best, sets))
+    failed = stored(close.join(best, ["key", "other"], "left_anti").join(likely, "key", "left_anti").select("key", "other"))
+    similar = stored(likely.union(alike(failed, sets)))
+    discard(close, best, likely, failed)
+    parts = [sets.join(similar, ["key", "key2"]).select("id", "text_key", "line")]
     open_ = stored(cuts.join(similar, "key", "left_anti"))
     if not open_.isEmpty():
         keys, words = (spark.sparkContext.broadcast(_bitmap(open_.select(c))) for c in ("key", "word"))
         again = met(words, keys).where("kind = 'similar'").join(open_.select("key").distinct(), "key", "left_semi").select("key").distinct()
-        lines.append(sets.join(again, "key").select("id", "text_key", "line"))
-    release(spark)
+        parts.append(sets.join(again, "key").select("id", "text_key", "line"))
     gone = copies
-    for x in lines:
+    for x in parts:
         gone = gone.union(x)
-    return stored(gone.distinct()), whole
+    gone = stored(gone.distinct())
+    discard(found, similar, open_)
+    return gone, whole
 
 
 def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """documents with the lines of repeated_lines taken out of their texts; all rows and other columns stay."""
-    gone, _ = repeated_lines(documents, id_col, text_col, similarity)
-    lists = stored(gone.groupBy("id", "text_key").agg(F.collect_list("line").alias("__gone")))
-    release(documents.sparkSession)
-    rest = [c for c in documents.columns if c != text_col]
-    rows = documents.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.xxhash64(F.col(text_col)))
-    marked = maybe_in(rows, key_filter(lists.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")), "__id", "__key"), "__id", "__key")
-    calm = marked.where("NOT __maybe").select(*[f"`{c}`" for c in documents.columns])
-    names = [f"c{k}" for k in range(len(rest))]
-    known = lists.withColumnsRenamed({"id": "__id", "text_key": "__key"})
-    busy = marked.where("__maybe").join(known, ["__id", "__key"], "left")
-    busy = busy.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)], F.col(text_col).cast("string").alias("__text"), "__gone")
-    cut = busy.mapInArrow(_without, busy.drop("__gone").schema)
-    cut = cut.select(*[F.col(n).alias(c) for c, n in zip(rest, names, strict=True)], F.col("__text").alias(text_col)).select(*[f"`{c}`" for c in documents.columns])
-    return calm.unionByName(cut)
+    """documents with the lines of repeated_lines taken out of their texts; all rows and other columns stay, whatever their names.
+    The text column is a string afterwards; a null text stays null."""
+    gone, whole = repeated_lines(documents, id_col, text_col, similarity)
+    lists = stored(gone.groupBy("id", "text_key").agg(F.collect_list("line").alias("gone")))
+    discard(gone)
+    columns = documents.columns
+    at, own = columns.index(text_col), [f"c{k}" for k in range(len(columns))]
+    rows = numbered(documents).withColumns({"id": F.col(f"c{columns.index(id_col)}").cast("long"), "text_key": F.xxhash64(f"c{at}")})
+    marked = maybe_in(rows, key_filter(lists, "id", "text_key"), "id", "text_key")
+    calm = marked.where("NOT __maybe").select(*own)
+    busy = marked.where("__maybe").join(lists, ["id", "text_key"], "left")
+    busy = busy.select(*[c for c in own if c != f"c{at}"], F.col(f"c{at}").cast("string").alias("text"), "gone")
+    cut = busy.mapInArrow(_without, busy.drop("gone").schema).withColumnRenamed("text", f"c{at}").select(*own)
+    return renamed(calm.unionByName(cut), columns)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

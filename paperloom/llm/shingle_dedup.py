@@ -1,13 +1,15 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles: an exact set-similarity join, for the pipeline.
-
-1. A scan counts all shingles in a table of bins of fixed size; a second one makes each text's set of shingles, in the order of
-   rarity, and deals out the first n - ceil(t * n) + 1 of each set (prefix filter: two sets of similarity t share one of them).
-2. Where sets meet at a shingle, each is paired with its next NEXT in the order of length; lengths and places must allow t.
-   The pairs are verified in integers, on sets that a third scan makes for the texts in question. Links give components.
-3. Shingles at which more than NEXT + 1 sets meet are looked at again, with the components: pairs of different components
+"""Groups of texts by the Jaccard similarity of their word shingles: how operator 4 verifies and completes what fingerprints propose.
+
+1. A scan counts all shingles in a table of bins of fixed size; a second one makes each text's set of shingles and its SimHash
+   fingerprint. Equal sets are one row from here on.
+2. Fingerprints within the radius, which vantage-point trees find, propose pairs.
+3. Two sets of similarity t share one of the first n - ceil(t * n) + 1 of their shingles in the order of rarity (prefix filter).
+   These are dealt out; where sets meet at a shingle, each is paired with its next NEXT in the order of length, if lengths and places allow t.
+4. All pairs are verified in integers, on sets that a third scan makes for the texts in question. Links give components.
+5. Shingles at which more than NEXT + 1 sets meet are looked at again, with the components: pairs of different components
    that 512-bit parity vectors allow are verified too. Pairs within a component can't change it, so a dense group makes no square.
 
-Equal sets are one row throughout. The components are those of all pairs of similarity t or more.
+The components are those of all pairs of similarity t or more.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, key_filter, maybe_in, stored
+from ._spark import bounded_batches, discard, key_filter, maybe_in, stored
 from ._text import LOWER, SPACE_WORD, SpanHash, blocks, column_bytes, mix, ranges, word_bounds, word_hashes
 from .components import connected_components
 from .line_dedup import _PART, _RANK_BITS, RARITY_BITS, _bin, _by_part, _meeting, _name, _packed_counts, _summed_counts, _unpack, _wide_parity
-from .simhash import keep_first
+from .vantage import fingerprints, near_links
 
 #: Sets that each set is paired with at a shingle, before its components are known.
 NEXT = 8
@@ -71,7 +73,7 @@ def _count(shingle: int):
     return run
 
 
-_MARKS = "id long, text_key long, key long, parity binary"
+_MARKS = "id long, text_key long, key long, parity binary, fingerprint long"
 
 
 def _marks(shingle: int):
@@ -80,7 +82,7 @@ def _marks(shingle: int):
             for first, last, d, o in blocks(*column_bytes(batch.column(2))):
                 sets = _Sets(d, o, shingle, None)
                 parity = pa.array([x.tobytes() for x in _wide_parity(sets.values, sets.n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], pa.array(sets.keys()), parity], names=["id", "text_key", "key", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], pa.array(sets.keys()), parity, pa.array(fingerprints(d, o, shingle).view(np.int64))], names=["id", "text_key", "key", "parity", "fingerprint"])
 
     return run
 
@@ -137,7 +139,7 @@ def _meet(p: int, q: int, most: int):
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         group = np.cumsum(np.append(0, word[1:] != word[:-1]))
         cut = np.flatnonzero(np.bincount(group)[group] > most + 1)
-        name = _name(np.full(len(cut), key_[0].as_py() // 2), word[cut])
+        name = _name(np.full(len(cut), key_[0].as_py() // 4), word[cut])
         none = lambda t, k: pa.nulls(k, t)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         columns = [pa.array(np.concatenate([pairs[:, 0], key[cut]])), pa.chunked_array([pa.array(pairs[:, 1], pa.int64()), none(kinds[1], len(cut))])]
@@ -195,13 +197,13 @@ def _similar(p: int, q: int):
     return run
 
 
-def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """Rows (id, text_key, root): root is the same for the texts that pairs of `similarity` or more connect.
 
     A text is the set of its shingles of `shingle` words `[^\\x20\\x09-\\x0D]+`, A-Z counting as a-z (a text with fewer words is one
     shingle); similarity is Jaccard's. Sets are told apart by 64-bit values, as are shingles. Null and empty texts and texts
     without words have one set, the empty one; null ids are ids like others; repeated rows are repeated in the result; an
-    empty table gives an empty one.
+    empty table gives an empty one. A text is held whole in one task.
     """
     t = Fraction(str(similarity))
     if not 0 < t <= 1:
@@ -215,7 +217,7 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rarity = spark.sparkContext.broadcast((counts.astype(np.float32).view(np.uint32) >> np.uint32(32 - 1 - _RANK_BITS)).astype(_U))
     bits = max(4, int(int(counts.sum()) * (q - p + 1) // (q * _PART)).bit_length())
     marks = stored(docs.mapInArrow(_marks(shingle), _MARKS))
-    sets = stored(marks.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "parity")).alias("x")).select("key", "x.id", "x.text_key", "x.parity"))
+    sets = stored(marks.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "parity", "fingerprint")).alias("x")).select("key", "x.id", "x.text_key", "x.parity", "x.fingerprint"))
     met = stored(texts.mapInArrow(_deal(rarity, shingle, p, q, bits), "part long, rows binary, words binary").groupBy("part").applyInArrow(_meet(p, q, NEXT), _MET))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -226,19 +228,21 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         x, y = known.select(F.col("key").alias("a"), F.col("shingles").alias("x")), known.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
         return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(p, q), "a long, b long"))
 
-    pairs = stored(met.where("b IS NOT NULL").select("a", "b").distinct())
+    # of a fingerprint's sets the least stands for all, and of a link's fingerprints their sets
+    prints = stored(sets.groupBy("fingerprint").agg(F.min("key").alias("first")))
+    ends = [prints.select(F.col("fingerprint").alias(x), F.col("first").alias(f"key_{x}")) for x in "ab"]
+    close = near_links(prints.select(F.col("fingerprint").alias("value")), radius).join(ends[0], "a").join(ends[1], "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    close = close.union(sets.select("key", "fingerprint").join(prints, "fingerprint").where("key <> first").select("first", "key")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(met.where("b IS NOT NULL").select("a", "b").union(close).distinct())
     links = verified(pairs)
     roots = connected_components(links)
     hot = met.where("b IS NULL").select("word", F.col("a").alias("key"), "n", "place").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     hot = stored(hot)
+    discard(met, prints)
     several = hot.groupBy("word").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("word")
     again = hot.join(several, "word", "left_semi").join(sets.select("key", "parity"), "key").groupBy("word").applyInArrow(_meet_again(p, q), "a long, b long")
     more = stored(again.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         roots = connected_components(links.union(verified(more)))
+    discard(pairs, links, hot, more, sets)
     return marks.join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "text_key", F.coalesce("root", "key").alias("root"))
-
-
-def drop_similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """documents with one row of each group of similar_groups: the one with the smallest id (ties: the smallest text key)."""
-    return keep_first(documents, similar_groups(documents, id_col, text_col, **options), id_col, text_col)

@@ -3,11 +3,10 @@
 1. Fingerprints: a majority vote over the XXH64 values of a text's word shingles, in one scan.
 2. The distinct fingerprints are partitioned by Hamming distance: a vantage-point tree over a bounded sample of
    them has at every node a vantage point and the median distance from it. A fingerprint lives in one leaf, and
-   also visits every leaf that the triangle inequality can't rule out for its radius.
+   also visits the leaves further out that the triangle inequality can't rule out for its radius.
 3. In each leaf (one shard) a local vantage-point tree goes on splitting residents and visitors alike, down to
-   small blocks that are compared bit by bit. So every pair within the radius is found, in the leaf of its lower
-   member. A shard reports a spanning tree of each group it finds, which is as good as all pairs for components
-   and no larger than the shard.
+   small blocks that are compared bit by bit. So every pair within the radius is found in one leaf. A shard reports a
+   spanning tree of each group it finds, which is as good as all pairs for components and no larger than the shard.
 4. Components of the links by relabelling in Spark joins.
 
 Copies of one fingerprint are aggregated before anything is compared, so a hot group of copies is one row.
@@ -15,175 +14,13 @@ Copies of one fingerprint are aggregated before anything is compared, so a hot g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, key_filter, maybe_in, release, stored
-from ._text import column_bytes
-from .components import connected_components, local_components, spanning_links
-
-SEED = 42
-#: Residents of a shard that the tree is built for, fingerprints of the sample for each shard, and their most.
-SHARD, PER_SHARD, MOST_SAMPLED = 2048, 32, 1 << 18
-_BLOCK = 1 << 20
-_SMALL = 96
-_LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
-
-
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The SimHash of a UTF-8 text; zero if it has no words."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:n], ends[min(shingle, len(words)) - 1 :]
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
-    for k in range(0, n, _BLOCK >> 4):
-        values = b"".join([digest(line[s:e], SEED) for s, e in zip(starts[k : k + (_BLOCK >> 4)].tolist(), ends[k : k + (_BLOCK >> 4)].tolist(), strict=True)])
-        votes += np.unpackbits(np.frombuffer(values, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
-
-
-def _fingerprints(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(2))
-            raw, at = data.tobytes(), offsets.tolist()
-            values = np.array([fingerprint(raw[at[k] : at[k + 1]], shingle) for k in range(len(at) - 1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["id", "text_key", "fingerprint"])
-
-    return run
-
-
-class VantageTree:
-    """Top levels of a vantage-point tree over 64-bit fingerprints, as arrays. A child below zero is leaf -1 - child."""
-
-    def __init__(self, sample: np.ndarray, leaves: int, seed: int = 7) -> None:
-        self.point, self.median, self.inside, self.outside = [], [], [], []
-        self.leaves, self._random = 0, np.random.default_rng(seed)
-        self.root = self._grow(sample, max(1, leaves))
-        self.point = np.array(self.point, np.uint64)
-
-    def _grow(self, sample: np.ndarray, leaves: int) -> int:
-        if leaves > 1 and len(sample) > 4:
-            tried = sample[self._random.integers(0, len(sample), 8)]
-            away = np.bitwise_count(sample[:, None] ^ tried[None, :]).astype(np.int64)
-            best = int(np.argmax(away.var(axis=0)))
-            away = away[:, best]
-            median = int(np.sort(away)[(len(away) - 1) // 2])
-            near = away <= median
-            if near.all():  # the median is the greatest distance: split below it
-                median -= 1
-                near = away <= median
-            if near.any() and not near.all():
-                node = len(self.point)
-                for column, value in ((self.point, tried[best]), (self.median, median), (self.inside, 0), (self.outside, 0)):
-                    column.append(value)
-                share = max(1, min(leaves - 1, round(leaves * near.mean())))
-                self.inside[node] = self._grow(sample[near], share)
-                self.outside[node] = self._grow(sample[~near], leaves - share)
-                return node
-        self.leaves += 1
-        return -self.leaves
-
-    def deal(self, values: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, places in values, whether they live there) for every leaf that a ball round a value can reach."""
-        todo = [(self.root, np.arange(len(values)), np.ones(len(values), bool))]
-        while todo:
-            node, rows, home = todo.pop()
-            if not len(rows):
-                continue
-            if node < 0:
-                yield -1 - node, rows, home
-                continue
-            away = np.bitwise_count(values[rows] ^ self.point[node]).astype(np.int64)
-            near = away <= self.median[node]
-            reach = away - radius <= self.median[node]
-            todo.append((self.inside[node], rows[reach], (home & near)[reach]))
-            reach = away + radius > self.median[node]
-            todo.append((self.outside[node], rows[reach], (home & ~near)[reach]))
-
-
-def near_pairs(values: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """Component labels of a shard: links of residents with greater residents and visitors within the radius."""
-    random, label = np.random.default_rng(11), np.arange(len(values))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    pending = 0
-
-    def settle() -> None:
-        nonlocal label, found, pending
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            label = local_components(len(values), np.concatenate([a, np.arange(len(values))]), np.concatenate([b, label]))
-            found, pending = [], 0
-
-    todo = [(np.flatnonzero(home), np.arange(len(values)))]
-    while todo:
-        mine, all_ = todo.pop()
-        if not len(mine) or not len(all_):
-            continue
-        if len(mine) > _SMALL:
-            point = values[mine[random.integers(len(mine))]]
-            away, reach = np.bitwise_count(values[mine] ^ point).astype(np.int64), np.bitwise_count(values[all_] ^ point).astype(np.int64)
-            median = int(np.sort(away)[(len(away) - 1) // 2])
-            median -= int((away <= median).all())
-            if (away <= median).any():
-                todo.append((mine[away <= median], all_[reach - radius <= median]))
-                todo.append((mine[away > median], all_[reach + radius > median]))
-                continue
-        rows = max(1, _BLOCK // len(all_))
-        for k in range(0, len(mine), rows):
-            part = mine[k : k + rows]
-            close = (np.bitwise_count(values[part][:, None] ^ values[all_][None, :]) <= radius) & (values[part][:, None] < values[all_][None, :])
-            a, b = np.nonzero(close)
-            if len(a):
-                found.append((part[a], all_[b]))
-                pending += len(a)
-                if pending > _BLOCK:
-                    settle()
-    settle()
-    return label
-
-
-def _dealer(tree, radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy().view(np.uint64)
-            for leaf, rows, home in tree.value.deal(values, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(values[rows].view(np.int64)), pa.array(home)], names=["leaf", "value", "home"])
-
-    return run
-
-
-def _shard(radius: int):
-    def run(table: pa.Table) -> pa.Table:
-        values = table["value"].to_numpy().view(np.uint64)
-        a, b = spanning_links(near_pairs(values, table["home"].to_numpy(), radius))
-        return pa.table({"a": values[a].view(np.int64), "b": values[b].view(np.int64)})
-
-    return run
-
-
-def near_links(values: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) with the components of all pairs of distinct values (column value, long) within the radius."""
-    spark = values.sparkSession
-    count = values.count()
-    leaves = -(-count // SHARD)
-    bound = min(MOST_SAMPLED, leaves * PER_SHARD)
-    rows = values.orderBy(F.xxhash64("value")).limit(bound).collect() if leaves > 1 else []
-    sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(VantageTree(sample, min(leaves, max(1, bound // PER_SHARD))))
-    dealt = values.mapInArrow(_dealer(tree, radius), "leaf int, value long, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(_shard(radius), "a long, b long")
+from ._spark import bounded_batches, stored
+from .components import connected_components, keep_first
+from .shingle_dedup import similar_groups
+from .vantage import near_links, scan_fingerprints
 
 
 def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -193,7 +30,9 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     shingle); XXH64 with seed 42; a bit is set if over half of the values have it. group is the smallest id that links reach.
 
     Null and empty texts have fingerprint zero, which is linked like any other; null ids count in no minimum, so that a
-    group of rows without ids has group null; repeated rows are repeated in the result; an empty table gives an empty one.
+    group of rows without ids has group null; repeated rows are repeated in the result; an empty table gives an empty one;
+    other columns, whatever their names, are ignored. A text is held whole in one task. Ids are whole numbers, or text of such;
+    any other id ends the job with Spark's CAST_INVALID_INPUT.
     """
     return _rooted(documents, id_col, text_col, shingle, radius).select("id", "text_key", "fingerprint", "group")
 
@@ -202,7 +41,7 @@ def _rooted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of simhash_groups with root, a fingerprint of the component: unlike group it is never null."""
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    marks = stored(docs.mapInArrow(_fingerprints(shingle), "id long, text_key long, fingerprint long"))
+    marks = stored(docs.mapInArrow(scan_fingerprints(shingle), "id long, text_key long, fingerprint long"))
     values = stored(marks.groupBy("fingerprint").agg(F.min("id").alias("first")))
     roots = connected_components(near_links(values.select(F.col("fingerprint").alias("value")), radius))
     rooted = values.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
@@ -211,26 +50,19 @@ def _rooted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return marks.join(rooted.join(groups, "root").select("fingerprint", "group", "root"), "fingerprint").select("id", "text_key", "fingerprint", "group", "root")
 
 
-def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """documents with one row of each group of simhash_groups: the one with the smallest id (ties: the smallest text key)."""
-    return keep_first(documents, _rooted(documents, id_col, text_col, **options), id_col, text_col)
-
-
-def keep_first(documents: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """documents with one row of each group; marks has a row (id, text_key, root) for each document, root (never null) naming its group."""
-    marks = stored(marks.select("id", "text_key", "root"))
-    keys = marks.groupBy("root", "id", "text_key").agg(F.count("*").alias("n"))
-    best = marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
-    judged = keys.join(best, "root").select("id", "text_key", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))).alias("__stays"))
-    others = stored(judged.where("NOT __stays OR n > 1"))
-    release(documents.sparkSession)
-    rows = documents.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.xxhash64(F.col(text_col)))
-    marked = maybe_in(rows, key_filter(others.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")), "__id", "__key"), "__id", "__key")
-    calm = marked.where("NOT __maybe").select(*[f"`{c}`" for c in documents.columns])
-    known = others.select(F.col("id").alias("__other"), F.col("text_key").alias("__other_key"), "__stays")
-    busy = marked.where("__maybe").join(known, F.col("__id").eqNullSafe(F.col("__other")) & (F.col("__key") == F.col("__other_key")), "left")
-    busy = busy.where("coalesce(__stays, true)").dropDuplicates(["__id", "__key"]).select(*[f"`{c}`" for c in documents.columns])
-    return calm.unionByName(busy)
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """documents with one row of each group: the one with the smallest id (ties: the smallest text key). All columns stay.
+
+    Without similarity, groups are those of simhash_groups. With it, they are what pairs of texts connect whose sets of shingles
+    have that Jaccard similarity or more: the links of the fingerprints propose pairs, which are verified on the sets. Similar
+    texts need not have close fingerprints (at a similarity of 0.8 some ten of 64 bits differ, where triangle bounds no
+    longer prune), so the pairs that the fingerprints miss are joined by the sets' rarest shingles, exactly; see similar_groups.
+    """
+    if similarity is None:
+        marks = _rooted(documents, id_col, text_col, shingle, radius)
+    else:
+        marks = similar_groups(documents, id_col, text_col, shingle, similarity, radius)
+    return keep_first(documents, marks, id_col, text_col)
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from helpers import corpus, documents
 
 from paperloom.llm import shingle_dedup as D
-from paperloom.llm.simhash import fingerprint
+from paperloom.llm.vantage import fingerprint
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

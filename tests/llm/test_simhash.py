@@ -7,6 +7,7 @@ import xxhash
 from helpers import DOCUMENTS, corpus, stored_tables
 
 from paperloom.llm import simhash as D
+from paperloom.llm import vantage as V
 from paperloom.llm.components import connected_components, local_components, spanning_links
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,7 +40,7 @@ def groups(ids, values, radius=2):
 
 
 def test_query_against_brute_force(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(D, "SHARD", 8)
+    monkeypatch.setattr(V, "SHARD", 8)
     rows = [*corpus(9, 60), corpus(9, 60)[0], (None, "a b c", None, None, 1), (600, "A b\tC", None, None, 1)]
     d = stored_tables(spark, tmp_path, documents=(rows, DOCUMENTS))
     values = [fingerprint(r[1]) for r in rows]
@@ -52,12 +53,12 @@ def test_shards_find_every_pair(leaves):
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 30, dtype=np.uint64)
     values = np.unique(np.concatenate([base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a in range(0, 64, 7) for b in range(0, 64, 9)]))
-    tree = D.VantageTree(values[::3], leaves)
+    tree = V.VantageTree(values[::3], leaves)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     homes = np.zeros(len(values), np.int64)
     for _, rows, home in tree.deal(values, 2):
         homes[rows] += home
-        x, y = spanning_links(D.near_pairs(values[rows], home, 2))
+        x, y = spanning_links(V.near_pairs(values[rows], home, 2))
         a.append(rows[x])
         b.append(rows[y])
     label = local_components(len(values), np.concatenate(a), np.concatenate(b))
@@ -87,3 +88,20 @@ def test_unrelated_texts_without_ids_stay(spark):
     rows = [(None, "a b c d"), (None, "p q r s t"), (None, "p q r s t"), (None, "x y z"), (7, "k l m n"), (None, "K l m n")]
     kept = D.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(None, "a b c d"), (None, "p q r s t"), (None, "x y z"), (7, "k l m n")], key=str)
+
+
+def test_rounds_of_components_grow_with_the_logarithm(spark, monkeypatch):
+    from paperloom.llm import components as C
+
+    written = []
+    monkeypatch.setattr(C, "stored", lambda df: written.append(0) or C_stored(df))
+    rows = [(k, k + 1) for k in range(1000)] + [(5000, 5000 + k) for k in range(1, 200)] + [(7, 7)]
+    got = connected_components(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert len(written) <= 1 + 3 * 20
+    roots = {r.node: r.root for r in got}
+    assert len(roots) == 1201 and len({roots[k] for k in range(1001)}) == 1 and len({roots[5000 + k] for k in range(200)}) == 1
+    assert roots[0] != roots[5000] and roots[0] in roots and roots[5000] in roots
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+from paperloom.llm._spark import stored as C_stored  # noqa: E402
