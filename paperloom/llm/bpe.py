@@ -14,6 +14,7 @@ A bounded dictionary of words spares repeated work within a Python worker. There
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bounded_batches
+from ._spark import beside, bounded_batches, renamed
 from ._text import ranges
 
-_NO = np.int64(1 << 62)
-_PLACE_BITS = 24
+_NO = np.int64((1 << 63) - 1)
+_PLACE_BITS = 32
 #: Most words a worker remembers, and their most characters; other words are encoded anew in each slice of a batch.
 REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 _SLICE = 256
@@ -71,6 +72,10 @@ class Bpe:
         keep = np.append(True, keys[order][1:] != keys[order][:-1])  # the first rank of a pair that is listed twice
         self.keys, self.ranks = keys[order][keep], order[keep]
         size = max([*vocab.values(), *self.special.values()]) + 1
+        if len(merges) >> 63 - _PLACE_BITS:
+            raise ValueError("too many merges")
+        with open(path, "rb") as f:
+            self.digest = hashlib.file_digest(f, "sha256").hexdigest()
         self.tokens: list[bytes] = [b""] * size
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token.encode()
@@ -218,11 +223,11 @@ class Decoder:
         return pa.array(texts, pa.binary()).cast(pa.string())
 
 
-_workers: dict[tuple, tuple[Encoder, Decoder]] = {}
+_workers: dict[str, tuple[Encoder, Decoder]] = {}
 
 
 def _worker(model) -> tuple[Encoder, Decoder]:
-    key = (model.value.pattern, len(model.value.keys), len(model.value.tokens))
+    key = model.value.digest
     if key not in _workers:
         _workers.clear()
         _workers[key] = Encoder(model.value), Decoder(model.value.tokens)
@@ -251,7 +256,8 @@ def bpe_encode(documents: DataFrame, tokenizer: str, text_col: str = "text", car
     is that of decode(ids, skip_special_tokens=False).
 
     A null or empty text has no ids and decodes to an empty text; rows keep their multiplicity; other columns are carried
-    along as they are; an empty table gives an empty result. A text is held whole in one task.
+    along as they are, but one named __ids or __decoded gets underscores in front; an empty table gives an empty result. A text
+    is held whole in one task.
     """
     bounded_batches(documents.sparkSession)
     carry = documents.columns if carry is None else carry
@@ -260,7 +266,7 @@ def bpe_encode(documents: DataFrame, tokenizer: str, text_col: str = "text", car
     source = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__ids", T.ArrayType(T.IntegerType())), T.StructField("__decoded", T.StringType())])
     done = source.mapInArrow(_coder(model, len(carry), decode), schema)
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "__ids", "__decoded")
+    return renamed(done, beside(carry, "__ids", "__decoded"), "__ids", "__decoded")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bounded_batches, stored
+from ._spark import beside, bounded_batches, discard, numbered, renamed, stored
 from ._text import ALNUM_WORD, LOWER, blocks, column_bytes, ranges, word_bounds, word_hashes
 
 #: Most characters of phrases that one compiled block holds (and a broadcast carries); more phrases make more passes.
@@ -203,8 +203,8 @@ def _occurrences(phrases: Phrases, symbols: np.ndarray, documents: np.ndarray) -
     return np.concatenate(where or [np.empty(0, np.int64)]), np.concatenate(which or [np.empty(0, np.int64)])
 
 
-def _finder(phrases, n_carried: int, more: bool):
-    """more: the last column but the text holds what earlier blocks of phrases found."""
+def _finder(phrases, n_carried: int):
+    """What the phrases hit in the texts, which follow n_carried other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = phrases.value
@@ -229,23 +229,16 @@ def _finder(phrases, n_carried: int, more: bool):
             np.add.at(hit, where, 1)
             np.subtract.at(hit, where + known.lengths[which], 1)
             hit = np.cumsum(hit[:-1]) > 0
-            earlier = batch.column(n_carried + 1).to_pylist() if more else [None] * len(n_words)
             rows = []
-            touched = np.unique(owner)
-            is_touched = np.zeros(len(n_words), bool)
-            is_touched[touched] = True
-            for k, (n, old, now) in enumerate(zip(n_words.tolist(), earlier, is_touched.tolist(), strict=True)):
-                if not now and not old:
+            touched = np.zeros(len(n_words), bool)
+            touched[owner] = True
+            for k, (n, now) in enumerate(zip(n_words.tolist(), touched.tolist(), strict=True)):
+                if not now:
                     rows.append({"n_words": n, "n_hit": 0, "items": [], "spans": []})
                     continue
-                own = hit[documents[k] : documents[k + 1]].copy()
-                names = by_document.get(k, set())
-                if old:
-                    names = names | set(old["items"])
-                    for x in old["spans"]:
-                        own[x["start"] : x["end"]] = True
+                own = hit[documents[k] : documents[k + 1]]
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                rows.append({"n_words": n, "n_hit": int(own.sum()), "items": sorted(names), "spans": [{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()]})
+                rows.append({"n_words": n, "n_hit": int(own.sum()), "items": sorted(by_document.get(k, ())), "spans": [{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()]})
             kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
             columns = [batch.column(k) for k in range(n_carried)] + [pa.array(rows, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(n_carried)] + ["__found"])
@@ -273,37 +266,53 @@ def find_phrases(documents: DataFrame, phrases: DataFrame, text_col: str = "text
     or the whole phrase if it has fewer. A document word is hit if an occurrence of a window covers it.
 
     Null texts and phrases have no words; a phrase without an id hits words but names no item; repeated rows count once in
-    items and give as many rows in the result; no phrases: nothing is hit. A text is held whole in one task.
+    items and give as many rows in the result; no phrases: nothing is hit; no documents: no rows; a column named __found is
+    returned with underscores in front, other columns as they are. A text is held whole in one task.
     """
     carry = documents.columns if carry is None else carry
+    return renamed(_found(documents, phrases, text_col, carry, item_col, phrase_col, window), beside(carry, "__found"), "__found")
+
+
+def _found(documents: DataFrame, phrases: DataFrame, text_col: str, carry: list[str], item_col: str, phrase_col: str, window: int) -> DataFrame:
+    """The columns in carry as c0, c1 ..., and __found."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    names = [f"c{k}" for k in range(len(carry))]
-    schema = T.StructType([T.StructField(n, documents.schema[c].dataType) for n, c in zip(names, carry, strict=True)] + [T.StructField("__found", FOUND)])
-    out = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(text_col).cast("string").alias("__text"))
+    plain = len(carry)
+    source = numbered(documents.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("text")).toDF(*[f"c{k}" for k in range(plain)], "text"))
     items = phrases.select(F.col(item_col).cast("string").alias("id"), F.col(phrase_col).cast("string").alias("text")).where("text IS NOT NULL")
-    plain, more = len(names), False
-    texts = out.select(*names, "__text")
-    pending = None
-    for block in _phrase_blocks(items):
-        if pending is not None:
-            texts, more = stored(_apply(texts, pending, schema, plain, more, True)), True
-        pending = spark.sparkContext.broadcast(Phrases(block, window))
-    if pending is None:
-        pending = spark.sparkContext.broadcast(Phrases([], window))
-    done = _apply(texts, pending, schema, plain, more, False)
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "__found")
-
-
-def _apply(texts: DataFrame, phrases, schema: T.StructType, plain: int, more: bool, again: bool) -> DataFrame:
-    names = [f"c{k}" for k in range(plain)]
-    if not again:
-        return texts.mapInArrow(_finder(phrases, plain, more), schema)
-    # another block follows: the text goes along as one more carried column
-    carried = T.StructType([*schema.fields[:-1], T.StructField(f"c{plain}", T.StringType()), schema.fields[-1]])
-    source = texts.select(*names, F.col("__text").alias(f"c{plain}"), "__text", *(["__found"] if more else []))
-    done = source.mapInArrow(_finder(phrases, plain + 1, more), carried)
-    return done.select(*names, F.col(f"c{plain}").alias("__text"), "__found")
+    blocks_ = _phrase_blocks(items)
+    block = next(blocks_, [])
+    following = next(blocks_, None)
+    if following is None:  # one block of phrases, one scan
+        schema = T.StructType([*source.schema.fields[:plain], T.StructField("__found", FOUND)])
+        return source.mapInArrow(_finder(spark.sparkContext.broadcast(Phrases(block, window)), plain), schema)
+    # a row's number names it, and what each block finds is kept apart from the texts
+    source = stored(source.withColumn("row", F.monotonically_increasing_id()))
+    names, parts = source.columns[:plain], []
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Phrases(block, window))
+        found = source.select("row", f"c{plain}").mapInArrow(_finder(shared, 1), T.StructType([T.StructField("c0", T.LongType()), T.StructField("__found", FOUND)]))
+        parts.append(stored(found.where(F.size("__found.spans") > 0) if parts else found))
+        shared.destroy()
+        block, following = following, next(blocks_, None)
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    merged = F.array_sort(F.flatten(F.collect_list("__found.spans")))
+    found = every.groupBy("c0").agg(F.max("__found.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__found.items")))).alias("items"), _union(merged).alias("spans"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    found = found.select(F.col("c0").alias("row"), F.struct("n_words", hit.alias("n_hit"), "items", "spans").cast(FOUND).alias("__found"))
+    out = stored(source.drop(f"c{plain}").join(found, "row").select(*names, "__found"))
+    discard(source, *parts)
+    return out
+
+
+def _union(spans):
+    """Sorted spans with those that overlap or touch merged."""
+    start = F.array().cast("array<struct<start:int,end:int>>")
+    last = lambda out: F.element_at(out, -1)
+    longer = lambda out, x: F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], x["end"]).alias("end"))))
+    return F.aggregate(spans, start, lambda out, x: F.when((F.size(out) > 0) & (F.get(out, F.size(out) - 1)["end"] >= x["start"]), longer(out, x)).otherwise(F.concat(out, F.array(x))))
 
 
 def is_contaminated(found: str = "__found"):
@@ -312,8 +321,9 @@ def is_contaminated(found: str = "__found"):
 
 
 def decontaminate(documents: DataFrame, phrases: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """documents without those that is_contaminated() names; the others are unchanged."""
-    return find_phrases(documents, phrases, text_col, **options).where(~is_contaminated()).drop("__found")
+    """documents without those that is_contaminated() names; the others are unchanged, all columns included, whatever their names."""
+    options = {"item_col": "item_id", "phrase_col": "text", "window": 13} | options
+    return renamed(_found(documents, phrases, text_col, documents.columns, **options).where(~is_contaminated()), documents.columns)
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches
+from ._spark import beside, bounded_batches, renamed
 from ._text import ALNUM_WORD, LOWER, SpanHash, blocks, column_bytes, word_bounds, word_hashes
 
 SHINGLE, MISS = 5, 1e-6
@@ -215,8 +215,8 @@ def scan_licenses(documents: DataFrame, text_col: str = "text", carry: list[str]
     long again as the template (in shingles) or without a gap of over a fifth of it between them; A-Z counting as a-z and words being `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; of overlapping matches of one license the longest stays.
 
     Null and empty texts and texts of fewer than five words match nothing; templates of fewer than five words are ignored;
-    repeated rows are repeated in the result; other columns are carried along as they are; an empty table gives an empty
-    result. A text is held whole in one task.
+    repeated rows are repeated in the result; other columns are carried along as they are, but one named __matches gets
+    underscores in front; an empty table gives an empty result. A text is held whole in one task.
     """
     bounded_batches(documents.sparkSession)
     carry = documents.columns if carry is None else carry
@@ -228,7 +228,7 @@ def scan_licenses(documents: DataFrame, text_col: str = "text", carry: list[str]
     schema.fields.append(matches["__matches"])
     schema.names.append("__matches")
     done = source.mapInArrow(_finder(known, len(carry)), schema)
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "__matches")
+    return renamed(done, beside(carry, "__matches"), "__matches")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

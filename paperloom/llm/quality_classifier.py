@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bounded_batches
+from ._spark import beside, bounded_batches, renamed
 from ._text import SPACE_WORD, blocks, column_bytes, mix, ranges, word_bounds, word_hashes
 
 _U = np.uint64
@@ -105,6 +105,8 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     The sample has at most per_class ids of each label, those whose hash is least, and of these the documents of at most
     max_chars characters, whole; the prior is that of all labels. Labels that are null or neither 0 nor 1 and null ids count for nothing.
+    Without usable labels the model is the prior. Ids are whole numbers, or text of such; any other id ends the job with Spark's
+    CAST_INVALID_INPUT. The chosen ids are broadcast: 2 x per_class at most.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL")
     order = F.xxhash64("id", F.lit(9))
@@ -134,15 +136,24 @@ def score_quality(documents: DataFrame, model: QualityModel, text_col: str = "te
     """documents' columns (or those in carry) and `__score`: the probability of label 1, from the whole text and nothing else.
 
     Null and empty texts get the score of the bias; repeated rows are scored alike; other columns are carried along as they
-    are; an empty table gives an empty result.
+    are, but one named __score gets underscores in front; an empty table gives an empty result. A text is held whole in one task.
     """
-    bounded_batches(documents.sparkSession)
     carry = documents.columns if carry is None else carry
+    return renamed(_scored(documents, model, text_col, carry), beside(carry, "__score"), "__score")
+
+
+def _scored(documents: DataFrame, model: QualityModel, text_col: str, carry: list[str]) -> DataFrame:
+    """The columns in carry as c0, c1 ..., and __score."""
+    bounded_batches(documents.sparkSession)
     names = [f"c{k}" for k in range(len(carry))]
-    source = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(text_col).cast("string").alias("__text"))
+    source = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{text_col}`").cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__score", T.DoubleType())])
-    done = source.mapInArrow(_scorer(documents.sparkSession.sparkContext.broadcast(model), len(carry)), schema)
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "__score")
+    return source.mapInArrow(_scorer(documents.sparkSession.sparkContext.broadcast(model), len(carry)), schema)
+
+
+def keep_good(documents: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """documents whose score is `least` or more; all columns stay, whatever their names. See score_quality."""
+    return renamed(_scored(documents, model, text_col, documents.columns).where(F.col("__score") >= least), documents.columns)
 
 
 def is_held_out(id_col: str):
