@@ -6,7 +6,7 @@ Parquet and read again as the next one's docs. All but the last return the colum
 1. quality: documents that the classifier rejects go.
 2. lines: lines that an earlier line matches go from the texts; documents stay, n_chars follows.
 3. near_duplicates: of each group of documents that a Jaccard similarity of 0.8 or more on five-word shingles connects, the one
-   with the smallest id stays.
+   with the smallest id stays. Fingerprints propose pairs, which are verified; what they miss is joined exactly.
 4. decontamination: documents contaminated with benchmark passages go.
 5. tokens: doc_id, n_tokens, ids (array<int>) and decoded text of what is left.
 """
@@ -22,14 +22,13 @@ from paperloom.llm._spark import stored
 from paperloom.llm.bpe import bpe_encode
 from paperloom.llm.decontamination import decontaminate
 from paperloom.llm.line_dedup import drop_repeated_lines
-from paperloom.llm.quality_classifier import is_held_out, score_quality, train_quality
-from paperloom.llm.shingle_dedup import drop_similar
+from paperloom.llm.quality_classifier import is_held_out, keep_good, train_quality
+from paperloom.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~is_held_out("doc_id"))
-    scored = score_quality(docs, train_quality(docs, labels))
-    return scored.where(F.col("__score") >= 0.5).drop("__score")
+    return keep_good(docs, train_quality(docs, labels))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_similar(docs, shingle=5, similarity=0.8)
+    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
