@@ -1,6 +1,6 @@
 """python -m paperloom convert PATH --out FOLDER: files of a path to tables and Markdown, one Spark job for all of them.
 
-Writes blocks, documents, chunks, quality, index and markdown below the folder, which must not have them yet, prints the counts
+Writes pages, texts, blocks, documents, chunks, quality, index and markdown below the folder, which must not have them yet, prints the counts
 of each status as JSON, and exits with 0 (all complete), 2 (some failed) or 1 (all failed).
 """
 
@@ -19,22 +19,20 @@ from .session import configure
 
 
 def _split(value: str) -> str | int | None:
-    if value in ("auto", "chapters"):
-        return value
-    if value == "none":
-        return None
+    """How documents are divided: auto, by chapters, not at all, or every so many pages."""
+    names = {"auto": "auto", "chapter": "chapters", "chapters": "chapters", "section": "chapters", "off": None, "false": None, "none": None}
+    if value in names:
+        return names[value]
     if value.isdigit() and int(value) > 0:
         return int(value)
-    raise argparse.ArgumentTypeError("auto, chapters, none or a number of pages")
+    raise argparse.ArgumentTypeError("auto, chapter, section, off or a positive number of pages")
 
 
-def convert(spark: SparkSession, path: str, out: str, split: str | int | None = "auto", first_page: int | None = None, last_page: int | None = None) -> dict[str, int]:
-    """Documents of each status. first_page and last_page count from 1, both inclusive, and limit the chunks."""
-    corpus = Corpus.read(spark, path)
-    chunks = corpus.plan(split)
-    if first_page is not None or last_page is not None:
-        low, high = F.lit((first_page or 1) - 1), F.lit((last_page or 2**31) - 1)
-        chunks = chunks.withColumns({"phys_start": F.greatest("phys_start", low), "phys_end": F.least("phys_end", high)}).where("phys_start <= phys_end")
+def convert(spark: SparkSession, path: str, out: str, split: str | int | None = "auto", first_page: int | None = None, last_page: int | None = None, mode: str = "physical", strict: bool = False) -> dict[str, int]:
+    """Documents of each status. first_page and last_page are inclusive, from 0 or, in the logical mode, as readers count them;
+    everything that is written holds these pages only. strict: the range is one chunk."""
+    corpus = Corpus.read(spark, path).limited(first_page, last_page, mode).decoded_once(out)
+    chunks = corpus.plan(None if strict else split)
     for name, rows in (("documents", corpus.results()), ("blocks", corpus.blocks()), ("chunks", sinks.structural_toc(chunks)), ("quality", corpus.quality())):
         sinks.write_table(rows, f"{out}/{name}")
     for name, rows, column in (("markdown", corpus.markdown(), "markdown"), ("index", corpus.index(), "json")):
@@ -48,12 +46,14 @@ def main(argv: list[str] | None = None) -> int:
     one = commands.add_parser("convert")
     one.add_argument("path")
     one.add_argument("--out", required=True)
-    one.add_argument("--split", type=_split, default="auto")
-    one.add_argument("--start-page", type=int)
-    one.add_argument("--end-page", type=int)
+    one.add_argument("--chapter-split", "--split", dest="split", type=_split, default="auto")
+    one.add_argument("--start-page", type=int, help="first page: an index from 0, or a page number in the logical mode")
+    one.add_argument("--end-page", type=int, help="last page, counted likewise")
+    one.add_argument("--page-range-mode", choices=("physical", "logical"), default="physical")
+    one.add_argument("--strict-page-range", action="store_true", help="the range is one chunk")
     args = parser.parse_args(argv)
     spark = configure(SparkSession.builder.appName("paperloom")).getOrCreate()
-    counts = convert(spark, args.path, args.out, args.split, args.start_page, args.end_page)
+    counts = convert(spark, args.path, args.out, args.split, args.start_page, args.end_page, args.page_range_mode, args.strict_page_range)
     failed, all_ = counts.get("failed", 0), sum(counts.values())
     status = "failed" if failed == all_ else "partial" if failed else "complete"
     print(json.dumps({"schema_version": "1.0", "status": status, "documents": counts}))

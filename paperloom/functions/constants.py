@@ -63,3 +63,17 @@ DECISION_STATES = ["confirmed", "corrected", "ambiguous"]
 
 #: Line breaks of str.splitlines().
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+# Form fields by their code, and the metadata of a PDF file.
+FIELD_TYPES = {1: "button", 2: "checkbox", 3: "combobox", 4: "listbox", 5: "radio", 7: "text"}
+PDF_METADATA = ["title", "author", "subject", "keywords", "creator", "producer", "creation_date", "modification_date"]
+
+# Least width, height and area of a region, and of a fallback cluster; points by which a region grows.
+LEAST_SIDE, LEAST_AREA, LEAST_CLUSTER, MARGIN = 12.0, 144.0, 400.0, 3.0
+
+# What a summary of a run shows.
+SUMMARY = [
+    "error", "output_directory", "backend_used", "files", "warnings", "chunk_count", "chunk_success_count", "chunk_failure_count", "all_chunks_failed", "quality_state", "quality_metrics",
+    "requires_ocr", "toc_confidence", "toc_resolution_mode", "resolved_start_page", "resolved_end_page", "resolved_page_map", "image_count", "saved_path", "provenance", "models_ready",
+    "readiness", "inference_verified", "config_path", "packages", "model_paths", "missing", "offline", "manifest_path", "visual_review",
+]

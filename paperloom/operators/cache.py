@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,10 @@ def live_entries(entries: DataFrame, now: Column, ttl_seconds: int = 3600, at: s
     return entries.where(now - F.unix_timestamp(at) <= ttl_seconds)
 
 
-def cache_statistics(entries: DataFrame, now: Column, size: str, at: str = "ts") -> DataFrame:
-    """Entries, bytes, and the ages of the oldest and the newest."""
-    age = now - F.unix_timestamp(at)
-    return entries.agg(F.count("*").alias("entries"), F.sum(size).alias("bytes"), F.max(age).alias("oldest"), F.min(age).alias("newest"))
+def cache_statistics(entries: DataFrame, now: Column, size: str, at: str = "ts", by: list[str] | None = None) -> DataFrame:
+    """Entries, bytes, and the ages of the oldest and the newest, of all or of each group of the columns in `by`."""
+    rows = entries.withColumn("__age", now - F.unix_timestamp(at))
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("entries"), F.sum(size).alias("bytes"), F.max("__age").alias("oldest"), F.min("__age").alias("newest"))
 
 
 def look_up(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
@@ -35,6 +35,24 @@ def work_list(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFr
     return missing.groupBy(key).agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("waiting"))
 
 
+def invalidate(entries: DataFrame, gone: DataFrame, key: str = "key") -> DataFrame:
+    """The cache without the entries of the given keys; the entries of an empty table are none, so clearing is a filter on nothing."""
+    return entries.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def batches(requests: DataFrame, size: int, run: str = "run_id") -> DataFrame:
+    """requests (run_id, ordinal) with batch_no: slices of `size` in each run's order; a size below one counts as one."""
+    order = Window.partitionBy(run).orderBy("ordinal")
+    return requests.withColumn("batch_no", F.floor((F.row_number().over(order) - 1) / F.lit(max(1, size))).cast("int"))
+
+
+def not_ready(parts: DataFrame, most: int = 5) -> DataFrame:
+    """name, ready, warning of backends: their first missing parts, joined. parts: name, ordinal, part, present."""
+    missing = F.array_sort(F.collect_list(F.when(~F.col("present"), F.struct("ordinal", "part"))))
+    own = parts.groupBy("name").agg(F.transform(F.slice(missing, 1, most), lambda x: x["part"]).alias("__m"))
+    return own.select("name", (F.size("__m") == 0).alias("ready"), F.when(F.size("__m") > 0, F.concat("name", F.lit(" is not ready: "), F.array_join("__m", "; "))).alias("warning"))
+
+
 def select_backend(formats: DataFrame, backends: DataFrame, fallback: str = "simple") -> DataFrame:
     """format, backend: of the available backends that support it (null formats: all) the one of least priority number."""
     usable = backends.where("available").select(F.struct("priority", "name").alias("best"), "formats")

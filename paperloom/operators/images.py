@@ -35,11 +35,11 @@ def exact_groups(images: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(images: DataFrame, most: int = K.NEAR_DUPLICATE_BITS, key: str = "doc_id") -> DataFrame:
-    """(key, a, b, bits) of images whose 64-bit hashes (phash, long) differ in at most `most` bits, a before b by ordinal.
+def near_hashes(hashes: DataFrame, most: int) -> DataFrame:
+    """(key, x, y, bits) of distinct 64-bit hashes (key, phash) of one key that differ in at most `most` bits, each pair both ways.
 
-    Of most + 1 bands of bits two such hashes agree in one at least; so only images that share a band meet, and a pair is kept in
-    the first band that it shares.
+    Of most + 1 bands of bits two such hashes agree in one at least; so only hashes that share a band meet, and a pair is kept
+    once however many bands it shares. Copies of a hash are one row, so they never meet each other.
     """
     bands, at, parts = most + 1, 0, []
     for k in range(bands):
@@ -47,24 +47,33 @@ def near_pairs(images: DataFrame, most: int = K.NEAR_DUPLICATE_BITS, key: str =
         mask = (1 << width) - 1 if width < 64 else -1
         parts.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("phash", at).bitwiseAND(F.lit(mask)).alias("bits")))
         at += width
-    rows = images.where("phash IS NOT NULL").select(F.col(key).alias("key"), "ordinal", "phash", F.explode(F.array(*parts)).alias("x")).select("key", "ordinal", "phash", "x.band", "x.bits")
-    left, right = (rows.select("key", "band", "bits", F.col("ordinal").alias(f"{s}"), F.col("phash").alias(f"{s}_hash")) for s in "ab")
-    met = left.join(right, ["key", "band", "bits"]).where("a < b").withColumn("apart", T.hamming("a_hash", "b_hash")).where(F.col("apart") <= most)
-    return met.groupBy("key", "a", "b").agg(F.min("apart").alias("bits")).withColumnRenamed("key", key)
+    rows = hashes.select("key", "phash", F.explode(F.array(*parts)).alias("p")).select("key", "phash", "p.band", "p.bits")
+    left, right = (rows.withColumnRenamed("phash", s) for s in "xy")
+    met = left.join(right, ["key", "band", "bits"]).where("x <> y").withColumn("apart", T.hamming("x", "y")).where(F.col("apart") <= most)
+    return met.groupBy("key", "x", "y").agg(F.min("apart").alias("bits"))
+
+
+def near_pairs(images: DataFrame, most: int = K.NEAR_DUPLICATE_BITS, key: str = "doc_id") -> DataFrame:
+    """(key, a, b, bits) of images whose 64-bit hashes (phash, long) differ in at most `most` bits, a before b by ordinal."""
+    rows = images.where("phash IS NOT NULL").select(F.col(key).alias("key"), "ordinal", "phash")
+    a, b = (rows.select("key", F.col("ordinal").alias(n), F.col("phash").alias(h)) for n, h in (("a", "x"), ("b", "y")))
+    near = near_hashes(rows.select("key", "phash").distinct(), most).join(a, ["key", "x"]).join(b, ["key", "y"]).where("a < b").select("key", "a", "b", "bits")
+    same = a.join(b.withColumnRenamed("y", "x"), ["key", "x"]).where("a < b").select("key", "a", "b", F.lit(0).alias("bits"))
+    return near.unionByName(same).withColumnRenamed("key", key)
 
 
 def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of a document at a time: rows come in order of key, a and b."""
+    """Groups of a document at a time: rows (key, a, b: members of an anchor a, itself included) come in order of key, a and b."""
     key_of, taken, anchor, members = None, set(), None, []
     out: dict[str, list] = {"key": [], "anchor": [], "member": []}
 
     def close() -> None:
-        if anchor is not None and anchor not in taken and members:
-            for m in (anchor, *members):
+        if anchor is not None and anchor not in taken:
+            for m in members:
                 out["key"].append(key_of)
                 out["anchor"].append(anchor)
                 out["member"].append(m)
-            taken.update((anchor, *members))
+            taken.update(members)
 
     for batch in batches:
         for key, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -90,11 +99,19 @@ def near_groups(images: DataFrame, most: int = K.NEAR_DUPLICATE_BITS, key: str =
     """(key, anchor, member, group_no): the first free image and all later ones near it are a group; groups may share members.
 
     The scan is greedy in the images' order, so it is a fold: it streams the pairs in order and keeps one document's members.
+    Copies of a hash are free or taken together, so that the fold runs over distinct hashes, each named by its first image.
     """
-    pairs = near_pairs(images, most, key).select(F.col(key).cast("long").alias("key"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    rows = images.where("phash IS NOT NULL").select(F.col(key).cast("long").alias("key"), F.col("ordinal").cast("long").alias("ordinal"), "phash")
+    hashes = rows.groupBy("key", "phash").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    a, b = hashes.select("key", F.col("phash").alias("x"), F.col("first").alias("a")), hashes.select("key", F.col("phash").alias("y"), F.col("first").alias("b"), "last")
+    near = near_hashes(hashes.select("key", "phash"), most).join(a, ["key", "x"]).join(b, ["key", "y"]).where("last > a").select("key", "a", "b")
+    some = near.select("key", "a").union(hashes.where("last > first").select("key", "first")).distinct()  # anchors that have members
+    pairs = near.unionByName(some.select("key", "a", F.col("a").alias("b")))
     found = pairs.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(_greedy, "key long, anchor long, member long")
+    copies = rows.join(hashes, ["key", "phash"]).select("key", F.col("first").alias("member"), "ordinal")
+    each = found.join(copies, ["key", "member"]).where("ordinal >= anchor").select("key", "anchor", F.col("ordinal").alias("member"))
     order = Window.partitionBy("key").orderBy("anchor")
-    return found.withColumn("group_no", F.dense_rank().over(order)).withColumnRenamed("key", key)
+    return each.withColumn("group_no", F.dense_rank().over(order)).withColumnRenamed("key", key)
 
 
 def figure_slots(documents: DataFrame, text_col: str = "markdown") -> DataFrame:

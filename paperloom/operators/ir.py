@@ -22,6 +22,11 @@ def with_block_ids(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("block_id", block_id())
 
 
+def with_confidence(blocks: DataFrame) -> DataFrame:
+    """blocks with a confidence: 0.9 where the source has no such column; a null that was given stays."""
+    return blocks if "confidence" in blocks.columns else blocks.withColumn("confidence", F.lit(0.9))
+
+
 def kept_metadata(metadata: str | Column) -> Column:
     """A metadata map without keys other than the six that a document keeps."""
     metadata = F.col(metadata) if isinstance(metadata, str) else metadata

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as T
 
-#: Least width, height and area of a region, and of a fallback cluster; points by which a region grows.
-LEAST_SIDE, LEAST_AREA, LEAST_CLUSTER, MARGIN = 12.0, 144.0, 400.0, 3.0
 
 
 def words_with_fonts(words: DataFrame, spans: DataFrame) -> DataFrame:
@@ -22,7 +21,7 @@ def words_with_fonts(words: DataFrame, spans: DataFrame) -> DataFrame:
     return words.join(own, ["doc_id", "page", "block", "word_no"], "left")
 
 
-def figure_regions(regions: DataFrame, pages: DataFrame, least_area: float = LEAST_AREA) -> DataFrame:
+def figure_regions(regions: DataFrame, pages: DataFrame, least_area: float = K.LEAST_AREA) -> DataFrame:
     """regions (doc_id, page, source, bbox) that are large enough, grown by the margin within their page.
 
     Clusters stand for drawings on pages that have any; nothing is deduplicated.
@@ -30,9 +29,9 @@ def figure_regions(regions: DataFrame, pages: DataFrame, least_area: float = LEA
     clusters = regions.where("source = 'cluster'").select("doc_id", "page").distinct().withColumn("__clustered", F.lit(True))
     rows = regions.join(clusters, ["doc_id", "page"], "left").where("NOT (source = 'drawing' AND coalesce(__clustered, false))").drop("__clustered")
     box = T.ordered_box("bbox")
-    rows = rows.withColumn("bbox", box).where((F.col("bbox")[2] - F.col("bbox")[0] >= LEAST_SIDE) & (F.col("bbox")[3] - F.col("bbox")[1] >= LEAST_SIDE) & (T.box_area("bbox") >= least_area))
+    rows = rows.withColumn("bbox", box).where((F.col("bbox")[2] - F.col("bbox")[0] >= K.LEAST_SIDE) & (F.col("bbox")[3] - F.col("bbox")[1] >= K.LEAST_SIDE) & (T.box_area("bbox") >= least_area))
     size = pages.select("doc_id", F.col("page_no").alias("page"), "width", "height")
-    return rows.join(size, ["doc_id", "page"]).withColumn("bbox", T.expanded_box("bbox", MARGIN, "width", "height")).drop("width", "height")
+    return rows.join(size, ["doc_id", "page"]).withColumn("bbox", T.expanded_box("bbox", K.MARGIN, "width", "height")).drop("width", "height")
 
 
 def table_markdown(rows: Column) -> Column:
@@ -43,20 +42,49 @@ def table_markdown(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), rest), "\n"))
 
 
-def unique_field_names(fields: DataFrame) -> DataFrame:
-    """fields (doc_id, ordinal, name, kind, choices) with names made unique by _1, _2 ..., and choices of choice fields only."""
-    place = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("ordinal")) - 1
-    rows = fields.withColumn("__place", place)
-    name = F.when(F.col("__place") > 0, F.concat("name", F.lit("_"), F.col("__place").cast("string"))).otherwise(F.col("name"))
-    return rows.withColumns({"name": name, "choices": F.when(F.col("kind").isin("combobox", "listbox"), F.col("choices"))}).drop("__place")
+def form_fields(widgets: DataFrame) -> DataFrame:
+    """widgets (doc_id, ordinal, name, type_code, value, rect, page, flags, choices) with type, required, read_only and unique names.
+
+    A name that an earlier field has gets the first free of _1, _2 ...; a field without a name is field_ and its number. Which
+    names are free depends on all fields before, so a document's fields are one group. Choices are those of choice fields.
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in K.FIELD_TYPES.items() for x in pair])
+    rows = widgets.withColumns({"type": F.coalesce(F.try_element_at(kinds, F.col("type_code")), F.lit("unknown")), "required": F.col("flags").bitwiseAND(2) != 0, "read_only": F.col("flags").bitwiseAND(1) != 0})
+    rows = rows.withColumn("choices", F.when(F.col("type").isin("combobox", "listbox"), F.coalesce("choices", F.array().cast("array<string>"))))
+    return unique_field_names(rows.drop("type_code", "flags"))
 
 
-def structure(outline: DataFrame, fonts: DataFrame, most_pages: int = 10) -> DataFrame:
-    """doc_id, outline_entries, fonts (sorted, of the first pages) of documents."""
+def unique_field_names(fields: DataFrame) -> DataFrame:
+    """fields (doc_id, ordinal, name) with names that no earlier field of the document has; see form_fields."""
+
+    def named(rows):
+        rows = rows.sort_values("ordinal")
+        taken: set[str] = set()
+        out = []
+        for k, name in enumerate(rows["name"]):
+            base = own = name or f"field_{k}"
+            n = 1
+            while own in taken:
+                own = f"{base}_{n}"
+                n += 1
+            taken.add(own)
+            out.append(own)
+        return rows.assign(name=out)
+
+    return fields.groupBy("doc_id").applyInPandas(named, fields.schema)
+
+
+def structure(outline: DataFrame, fonts: DataFrame, documents: DataFrame | None = None, most_pages: int = 10) -> DataFrame:
+    """doc_id, outline_entries, fonts (sorted, of the first pages) of documents; with documents (doc_id, metadata as a map,
+    page_count, has_acroform, is_encrypted) also these, the eight metadata fields empty where they are not known."""
     entries = outline.groupBy("doc_id").agg(F.count("*").alias("outline_entries"))
     names = fonts.where(F.col("page_index") < most_pages).groupBy("doc_id").agg(F.array_sort(F.collect_set("font")).alias("fonts"))
     out = entries.join(names, "doc_id", "full")
-    return out.select("doc_id", F.coalesce("outline_entries", F.lit(0)).alias("outline_entries"), F.coalesce("fonts", F.array().cast("array<string>")).alias("fonts"))
+    if documents is not None:
+        metadata = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(""))) for k in K.PDF_METADATA]))
+        out = documents.select("doc_id", metadata.alias("metadata"), "page_count", "has_acroform", "is_encrypted").join(out, "doc_id", "left")
+    more = [c for c in out.columns if c not in ("doc_id", "outline_entries", "fonts")]
+    return out.select("doc_id", F.coalesce("outline_entries", F.lit(0)).alias("outline_entries"), F.coalesce("fonts", F.array().cast("array<string>")).alias("fonts"), *more)
 
 
 def broken_fonts(fonts: DataFrame) -> DataFrame:

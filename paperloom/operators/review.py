@@ -30,9 +30,9 @@ def caption_candidates(pages: DataFrame, regions: DataFrame, captions: DataFrame
     return clear.select("page_id", "region_id", "caption_id", "gap").withColumn("place", F.row_number().over(order))
 
 
-def associate_captions(pages: DataFrame, regions: DataFrame, captions: DataFrame) -> DataFrame:
+def associate_captions(pages: DataFrame, regions: DataFrame, captions: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Each region with selected_id (a single candidate, or one over 12 points nearer than the next), effective_id and candidates."""
-    found = caption_candidates(pages, regions, captions)
+    found = caption_candidates(pages, regions, captions) if found is None else found
     own = found.groupBy("page_id", "region_id").agg(F.count("*").alias("candidates"), F.max(F.when(F.col("place") == 1, F.col("caption_id"))).alias("__first"), (F.max(F.when(F.col("place") == 2, F.col("gap"))) - F.max(F.when(F.col("place") == 1, F.col("gap")))).alias("__lead"))
     out = regions.join(own, ["page_id", "region_id"], "left")
     clear = (F.col("candidates") == 1) | (F.col("__lead") > 12)
@@ -49,13 +49,14 @@ def overlapping_regions(regions: DataFrame) -> DataFrame:
 
 def review_issues(pages: DataFrame, regions: DataFrame, captions: DataFrame) -> DataFrame:
     """Issues (page_id, region_id, check, issue) of all rules."""
-    rows = associate_captions(pages, regions, captions).join(pages.select("page_id", "width", "height"), "page_id")
+    candidates = caption_candidates(pages, regions, captions)
+    rows = associate_captions(pages, regions, captions, candidates).join(pages.select("page_id", "width", "height"), "page_id")
     chosen = captions.select("page_id", F.col("caption_id").alias("selected_id"), F.col("kind").alias("__kind"))
     rows = rows.join(chosen, ["page_id", "selected_id"], "left")
     shared = F.count(F.col("effective_id")).over(Window.partitionBy("page_id", "effective_id"))
     rows = rows.withColumn("__shared", F.when(F.col("effective_id").isNotNull(), shared))
     labels = captions.withColumn("__same", F.count("*").over(Window.partitionBy("page_id", "kind", "label"))).where("__same > 1").select("page_id", "caption_id")
-    doubled = caption_candidates(pages, regions, captions).join(labels, ["page_id", "caption_id"], "left_semi").select("page_id", "region_id").distinct().withColumn("__doubled", F.lit(True))
+    doubled = candidates.join(labels, ["page_id", "caption_id"], "left_semi").select("page_id", "region_id").distinct().withColumn("__doubled", F.lit(True))
     pairs = overlapping_regions(regions)
     crossed = pairs.select("page_id", F.col("a").alias("region_id")).union(pairs.select("page_id", "b")).distinct().withColumn("__crossed", F.lit(True))
     rows = rows.join(doubled, ["page_id", "region_id"], "left").join(crossed, ["page_id", "region_id"], "left")
@@ -136,6 +137,86 @@ def validate_responses(decisions: DataFrame, pages: DataFrame, regions: DataFram
     return out.select("page_id", (F.size(found) == 0).alias("valid"), found.alias("broken"))
 
 
+_REQUIRED = ["region_id", "type", "bbox", "caption_id", "status", "reason"]
+
+
+def read_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions of raw responses (page_id, payload as JSON) for validate_responses, and what is malformed (page_id, problem).
+
+    A response is an object with an array `regions` of objects that have all required fields.
+    """
+    items = F.from_json(F.get_json_object("payload", "$.regions"), "array<string>")
+    is_list = F.coalesce(F.get_json_object("payload", "$.regions"), F.lit("")).startswith("[")
+    rows = responses.select("page_id", F.when(is_list, items).alias("items"))
+    shape = rows.where("items IS NULL").select("page_id", F.lit("no_regions_array").alias("problem"))
+    each = rows.select("page_id", F.explode("items").alias("item"))
+    keys = F.json_object_keys("item")
+    body = F.from_json("item", "region_id string, type string, bbox array<double>, caption_id string, status string, reason string, merge_with array<string>, split_boxes array<array<double>>")
+    each = each.withColumns({"__keys": keys, "__body": body})
+    record = each.where("__keys IS NULL").select("page_id", F.lit("invalid_record").alias("problem"))
+    missing = F.size(F.array_except(F.array(*map(F.lit, _REQUIRED)), "__keys")) > 0
+    fields = each.where(F.col("__keys").isNotNull() & missing).select("page_id", F.lit("missing_fields").alias("problem"))
+    return each.where("__keys IS NOT NULL").select("page_id", "__body.*"), shape.union(record).union(fields).distinct()
+
+
+def with_problems(verdicts: DataFrame, problems: DataFrame) -> DataFrame:
+    """Verdicts of validate_responses with the problems of read_responses: a malformed response is invalid as a whole."""
+    own = problems.groupBy("page_id").agg(F.collect_set("problem").alias("__problems"))
+    rows = verdicts.join(own, "page_id", "left")
+    broken = F.array_sort(F.array_union("broken", F.coalesce("__problems", F.array().cast("array<string>"))))
+    return rows.select("page_id", (F.size(broken) == 0).alias("valid"), broken.alias("broken"))
+
+
+def requests(pages: DataFrame, regions: DataFrame, captions: DataFrame, issues: DataFrame, image_bytes: DataFrame, most_mb: int = 20) -> DataFrame:
+    """page_id, body (JSON: width, height, captions, regions with what they are and their checks), error.
+
+    image_bytes: page_id, bytes of the pictures that go along; a page with more than most_mb megabytes is not asked for.
+    """
+    checks = issues.groupBy("page_id", "region_id").agg(F.array_sort(F.collect_set("issue")).alias("checks"))
+    own = regions.join(checks, ["page_id", "region_id"], "left").withColumn("checks", F.coalesce("checks", F.array().cast("array<string>")))
+    r = own.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "region_id", "bbox", "type", "caption_id", "checks"))).alias("__r"))
+    c = captions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("caption_id", "kind", "label", "bbox"))).alias("captions"))
+    size = image_bytes.groupBy("page_id").agg(F.sum("bytes").alias("__bytes"))
+    rows = pages.join(r, "page_id").join(c, "page_id", "left").join(size, "page_id", "left")
+    listed = F.transform("__r", lambda x: F.struct(x["region_id"].alias("region_id"), x["bbox"].alias("bbox"), x["type"].alias("type"), x["caption_id"].alias("caption_id"), x["checks"].alias("checks")))
+    body = F.to_json(F.struct("width", "height", F.coalesce("captions", F.array().cast(c.schema["captions"].dataType)).alias("captions"), listed.alias("regions")))
+    large = F.coalesce(F.col("__bytes"), F.lit(0)) > most_mb * 1024 * 1024
+    return rows.select("page_id", F.when(~large, body).alias("body"), F.when(large, "request_too_large").alias("error"))
+
+
+def page_outcomes(pages: DataFrame, selected: DataFrame, verdicts: DataFrame, enabled: bool = True) -> DataFrame:
+    """page_id, outcome: not_requested, unavailable, budget_exhausted, reviewed or failed (no answer, or an invalid one)."""
+    rows = pages.select("page_id").join(selected, "page_id", "left").join(verdicts.select("page_id", "valid"), "page_id", "left")
+    needed, asked = F.coalesce("needed", F.lit(False)), F.coalesce("requested", F.lit(False))
+    outcome = F.when(~needed, "not_requested").when(~F.lit(enabled), "unavailable").when(~asked, "budget_exhausted").when(F.coalesce("valid", F.lit(False)), "reviewed").otherwise("failed")
+    return rows.select("page_id", outcome.alias("outcome"))
+
+
+def reviewed_regions(states: DataFrame, decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """states with status after review: on reviewed pages ambiguous (so decided, or with a proposal to merge or split) or vlm_reviewed."""
+    good = decisions.join(outcomes.where("outcome = 'reviewed'"), "page_id", "left_semi")
+    open_ = (F.col("status") == "ambiguous") | (F.size("merge_with") > 0) | (F.size("split_boxes") > 0)
+    own = good.select("page_id", "region_id", F.when(F.coalesce(open_, F.lit(False)), "ambiguous").otherwise("vlm_reviewed").alias("__status"))
+    return states.join(own, ["page_id", "region_id"], "left").withColumn("status", F.coalesce("__status", "status")).drop("__status")
+
+
+def review_report(states: DataFrame, outcomes: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, status, regions, unresolved, api_calls, warnings of each document; keys: page_id, doc_id, page_no."""
+    unresolved = F.col("status").isin("needs_review", "ambiguous")
+    own = states.groupBy("page_id").agg(F.count("*").alias("regions"), F.count_if(unresolved).alias("unresolved"))
+    rows = keys.join(outcomes, "page_id").join(own, "page_id", "left")
+    bad = F.col("outcome").isin("failed", "unavailable", "budget_exhausted")
+    note = F.when(bad, F.struct("page_no", F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), F.col("outcome")).alias("text")))
+    out = rows.groupBy("doc_id").agg(
+        F.coalesce(F.sum("regions"), F.lit(0)).alias("regions"),
+        F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved"),
+        F.count_if(F.col("outcome").isin("reviewed", "failed")).alias("api_calls"),
+        F.transform(F.array_sort(F.collect_list(note)), lambda x: x["text"]).alias("warnings"),
+    )
+    status = F.when(F.col("regions") == 0, "no_regions_detected").when((F.col("unresolved") > 0) | (F.size("warnings") > 0), "needs_review").when(F.col("api_calls") > 0, "vlm_reviewed").otherwise("rule_passed")
+    return out.withColumn("status", status)
+
+
 def apply_decisions(regions: DataFrame, decisions: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Regions with type, bbox and caption_id as decided, on pages whose decisions are valid; others as they were."""
     good = decisions.join(verdicts.where("valid"), "page_id", "left_semi").select("page_id", "region_id", *[F.col(c).alias(f"__{c}") for c in ("type", "bbox", "caption_id", "status")])
@@ -170,12 +251,24 @@ def distinct_regions(regions: DataFrame, share: float = 0.98) -> DataFrame:
 
 
 def distinct_captions(captions: DataFrame) -> DataFrame:
-    """captions (page_id, caption_id, seq, bbox, text) without those with the text of an earlier one that they meet."""
-    rows = captions.withColumn("__text", T.strip("text"))
-    earlier = rows.select("page_id", "__text", F.col("seq").alias("__seq"), F.col("bbox").alias("__box"))
-    a, b = rows.alias("a"), earlier.alias("b")
-    same = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.__text") == F.col("b.__text")) & (F.col("b.__seq") < F.col("a.seq")) & (T.box_overlap("a.bbox", "b.__box") > 0)
-    return a.join(b, same, "left_anti").drop("__text")
+    """captions (page_id, caption_id, seq, bbox, text) without those with the text of an earlier kept one that they meet.
+
+    Whether a caption is kept depends on the kept ones before it, so a page is one group; a page's captions are few.
+    """
+
+    def keep(rows):
+        rows = rows.sort_values("seq")
+        kept: dict[str, list] = {}
+        stays = []
+        for b, text in zip(rows["bbox"], rows["text"], strict=True):
+            own = kept.setdefault((text or "").strip(), [])
+            meets = any(min(b[2], o[2]) > max(b[0], o[0]) and min(b[3], o[3]) > max(b[1], o[1]) for o in own)
+            stays.append(not meets)
+            if not meets:
+                own.append(b)
+        return rows[stays]
+
+    return captions.groupBy("page_id").applyInPandas(keep, captions.schema)
 
 
 def captions_of_texts(lines: DataFrame) -> DataFrame:

@@ -6,38 +6,15 @@ a turn a page), embeddings for images, lineitem for boxes on pages, events for c
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import cache, images, ir, review
+from ..operators import cache, images, ir, pdf, review
 from ..plans import chunks, merge, ranges
 from . import geometry
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None):
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
+from .registry import query, quoted, table
 
 # -- text quality -----------------------------------------------------------------------------------------------------------
 
@@ -232,10 +209,14 @@ def q16(spark, d):
     return decoders.rows_to_markdown(rows).select(F.md5("markdown").alias("digest"))
 
 
-@query("q17_json_props", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(json_extract_string(props, '$.k')) AS BIGINT) AS with_k, CAST(sum(length(props)) AS BIGINT) AS chars FROM events GROUP BY event_type")
+@query("q17_json_props", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(json_extract_string(props, '$.k')) AS BIGINT) AS with_k, CAST(sum(7 + length(json_extract_string(props, '$.k'))) + 4 * count(*) AS BIGINT) AS chars FROM events GROUP BY event_type")
 def q17(spark, d):
-    rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("with_k"), F.sum(F.length("props")).cast("long").alias("chars"))
+    """Properties of events as JSON files: decoded, and queried in the decoded form."""
+    from ..sources import decoders
+
+    files = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "event_type", F.lit("json").alias("format"), F.encode("props", "utf-8").alias("content"))
+    rows = decoders.decode(files).join(files.select("doc_id", "event_type"), "doc_id").withColumn("k", F.get_json_object("text", "$.k"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("with_k"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 # -- the block model --------------------------------------------------------------------------------------------------------
@@ -425,28 +406,43 @@ def q33(spark, d):
     return groups.groupBy(F.col("doc_id").alias("lang")).agg(F.count("*").alias("groups"), F.sum("occurrences").alias("occurrences"), F.count_if(F.col("occurrences") > 1).alias("repeated"), F.sum("first_ordinal").alias("first_ids"))
 
 
-_DHASH = "list_reduce(list_transform(generate_series(1, 63), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END), lambda acc, x: acc * 2 + x)"
+_DHASH = """(SELECT vec_id, CASE WHEN v >= 9223372036854775808 THEN CAST(v - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END AS h FROM (SELECT vec_id, list_reduce(list_transform(generate_series(0, 63), lambda i: CASE WHEN e[(i // 8) * 9 + i % 8 + 1] > e[(i // 8) * 9 + i % 8 + 2] THEN CAST(1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END), lambda acc, x: acc * 2 + x) AS v
+    FROM (SELECT vec_id, embedding || embedding[1:8] AS e FROM embeddings)))"""
+#: Images of documents of 100: of each four the later ones differ from the first in some bits, but for every sixteenth four, which are equal.
+_HASHES = f"h AS (SELECT e.vec_id, e.vec_id // 100 AS doc_id, xor(d.h, CASE WHEN e.vec_id % 64 < 4 THEN 0 ELSE (1 << CAST(e.vec_id % 4 AS INTEGER)) - 1 END) AS h FROM embeddings e JOIN {_DHASH} d ON d.vec_id = e.vec_id - e.vec_id % 4)"
+
+
+def _dhash(spark, d) -> DataFrame:
+    pixels = F.concat("embedding", F.slice("embedding", 1, 8))  # 72 grey values
+    return table(spark, d, "embeddings").select("vec_id", T.difference_hash(pixels).alias("phash"))
 
 
 def hashes(spark, d) -> DataFrame:
-    """63 bits of each embedding: whether a value is greater than the next."""
-    bits = F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR((F.element_at("embedding", i) > F.element_at("embedding", i + 1)).cast("long")))
-    return table(spark, d, "embeddings").select(F.lit(0).cast("long").alias("doc_id"), F.col("vec_id").alias("ordinal"), bits.alias("phash"), F.col("label"))
+    own = F.when(F.col("vec_id") % 64 < 4, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, CAST(vec_id % 4 AS INT)) - 1"))
+    first = _dhash(spark, d).select(F.col("vec_id").alias("head"), "phash")
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") - F.col("vec_id") % 4).alias("head")).join(first, "head")
+    return rows.select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc_id"), F.col("vec_id").alias("ordinal"), F.col("phash").bitwiseXOR(own).alias("phash"))
 
 
-@query("q34_dhash", f"SELECT vec_id, {_DHASH} AS phash FROM embeddings")
+@query("q34_dhash", f"SELECT vec_id, h AS phash FROM {_DHASH}")
 def q34(spark, d):
-    return hashes(spark, d).select(F.col("ordinal").alias("vec_id"), "phash")
+    return _dhash(spark, d)
 
 
-@query("q35_near_dup_pairs", f"WITH h AS (SELECT vec_id, label, {_DHASH} AS h FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 18")
+@query("q35_near_dup_pairs", f"WITH {_HASHES} SELECT a.doc_id, a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS bits FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 8")
 def q35(spark, d):
-    return images.near_pairs(hashes(spark, d), 18).select("a", "b", F.col("bits").cast("int").alias("bits"))
+    return images.near_pairs(hashes(spark, d)).select("doc_id", "a", "b", F.col("bits").cast("int").alias("bits"))
 
 
-@query("q36_near_dup_groups", None)
+@query(
+    "q36_near_dup_groups",
+    f"""WITH {_HASHES}, p AS (SELECT a.doc_id, a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 8),
+    f AS (SELECT DISTINCT doc_id, a FROM p WHERE (doc_id, a) NOT IN (SELECT doc_id, b FROM p)), m AS (SELECT f.doc_id, f.a AS anchor, p.b AS member FROM f JOIN p ON p.doc_id = f.doc_id AND p.a = f.a UNION ALL SELECT doc_id, a, a FROM f)
+    SELECT doc_id, anchor, member, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY anchor) AS BIGINT) AS group_no FROM m""",
+)
 def q36(spark, d):
-    return images.near_groups(hashes(spark, d), 18).select("anchor", "member", F.col("group_no").cast("long").alias("group_no"))
+    """The images' nearness is transitive here, so that every first image of a four is an anchor."""
+    return images.near_groups(hashes(spark, d)).select("doc_id", "anchor", "member", F.col("group_no").cast("long").alias("group_no"))
 
 
 _PICTURES = """pic AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS image_no, CASE WHEN turn % 4 <> 3 THEN CAST(turn * 4 + 2 AS INTEGER) END AS page, role = 'assistant' AS fig FROM conversations)"""
@@ -565,8 +561,9 @@ def q44(spark, d):
 def q45(spark, d):
     events = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.length("props").alias("size"))
     newest = events.agg(F.max(F.unix_timestamp("ts")).alias("now"))  # one row
-    live = cache.live_entries(events.join(F.broadcast(newest)), F.col("now"), 864_000).withColumn("age", F.col("now") - F.unix_timestamp("ts"))
-    return live.groupBy("event_type").agg(F.count("*").alias("live"), F.sum("size").cast("long").alias("bytes"), F.max("age").alias("oldest"), F.min("age").alias("newest"))
+    live = cache.live_entries(events.join(F.broadcast(newest)), F.col("now"), 864_000)
+    done = cache.cache_statistics(live, F.col("now"), "size", by=["event_type"])
+    return done.select("event_type", F.col("entries").alias("live"), F.col("bytes").cast("long").alias("bytes"), "oldest", "newest")
 
 
 @query("q46_answer_cache_join", "WITH r AS (SELECT doc_id, sha256(text) AS key FROM documents), c AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE doc_id % 3 = 0) SELECT r.doc_id, c.key IS NOT NULL AS cache_hit FROM r LEFT JOIN c ON c.key = r.key")
@@ -597,9 +594,10 @@ def q49(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_member(path).alias("is_safe"))
 
 
-@query("q50_image_coverage", f"WITH {geometry.SQL}, c AS (SELECT page_id, least(sum((x1 - x0) * (y1 - y0)) / 480000.0, 1.0) AS share FROM region GROUP BY page_id) SELECT CAST(page_id % 100 AS BIGINT) AS document, CAST(count(*) AS BIGINT) AS pages, round(CAST(avg(CASE WHEN share >= 0.05 THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS covered, avg(CASE WHEN share >= 0.05 THEN 1.0 ELSE 0.0 END) >= 0.5 AS is_scanned FROM c GROUP BY page_id % 100")
+@query("q50_image_coverage", f"WITH {geometry.SQL}, c AS (SELECT page_id, least(sum((x1 - x0) * (y1 - y0)) / 480000.0, 1.0) AS share FROM region GROUP BY page_id) SELECT CAST(page_id % 100 AS BIGINT) AS doc_id, avg(CASE WHEN share >= 0.05 THEN 1.0 ELSE 0.0 END) AS covered_share, avg(CASE WHEN share >= 0.05 THEN 1.0 ELSE 0.0 END) >= 0.5 AS is_scanned FROM c GROUP BY page_id % 100")
 def q50(spark, d):
     _, regions, _ = geometry.tables(table(spark, d, "lineitem"))
-    pages = regions.groupBy("page_id").agg(F.least(F.sum(T.box_area("bbox")) / 480000.0, F.lit(1.0)).alias("share"))
-    covered = F.avg((F.col("share") >= 0.05).cast("double"))
-    return pages.groupBy((F.col("page_id") % 100).alias("document")).agg(F.count("*").alias("pages"), F.round(covered, 6).alias("covered"), (covered >= 0.5).alias("is_scanned"))
+    document = (F.col("page_id") % 100).alias("doc_id")
+    pages = regions.select(document, F.col("page_id").alias("page_no"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height")).distinct()
+    done = pdf.image_coverage(regions.select(document, F.col("page_id").alias("page"), "bbox"), pages, 0.05)
+    return done.select("doc_id", "covered_share", (F.col("covered_share") >= 0.5).alias("is_scanned"))

@@ -10,11 +10,14 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "figure", "figcaption", "form", "address", "dl", "dt", "dd", "fieldset"}
 _DROPPED = {"script", "style", "noscript", "template"}
 _HEADINGS = {f"h{k}": k for k in range(1, 7)}
+#: Elements nested deeper than this become siblings, so that no page exhausts the stack; no text is lost.
+DEEPEST = 100
 
 
 class _Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 class _Tree(HTMLParser):
@@ -23,19 +26,29 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.now = _Node("", {}, None)
+        self.beyond: list[str] = []  # open elements that are too deep to hold others
 
     def handle_starttag(self, tag, attrs):
         if tag in ("p", "li", "tr", "td", "th") and (open_ := self._open(tag, {"ul", "ol", "table", "tr"} - {tag})):
             self.now = open_.parent
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.now)
         self.now.children.append(node)
-        if tag not in _VOID:
+        if tag in _VOID:
+            return
+        if node.depth < DEEPEST:
             self.now = node
+        else:
+            self.beyond.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.now.children.append(_Node(tag, {k: v or "" for k, v in attrs}, self.now))
 
     def handle_endtag(self, tag):
+        if self.beyond:
+            if tag in self.beyond:
+                while self.beyond.pop() != tag:
+                    pass
+            return
         if open_ := self._open(tag, set()):
             self.now = open_.parent
 

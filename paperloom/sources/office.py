@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import html
 import io
 import json
 import posixpath
@@ -12,7 +13,7 @@ import zlib
 from xml.etree import ElementTree
 
 from ..functions import constants as K
-from .html_markdown import html_to_markdown
+from .html_markdown import html_to_markdown, link_target
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -62,21 +63,40 @@ def _xml(archive: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(archive.read(name))
 
 
+def _relations(archive: zipfile.ZipFile, name: str) -> dict[str, str]:
+    """Targets by id of a part's relations."""
+    return {r.get("Id"): r.get("Target") or "" for r in _xml(archive, name)} if name in archive.namelist() else {}
+
+
 def decode_docx(data: bytes) -> str:
-    """Paragraphs with heading styles, emphasis and list items, and tables, in the body's order."""
+    """Paragraphs with heading styles, emphasis, links, pictures and list items, and tables, in the body's order."""
     archive = zipfile.ZipFile(io.BytesIO(data))
     body = _xml(archive, "word/document.xml").find(f"{_W}body")
+    relations = _relations(archive, "word/_rels/document.xml.rels")
     out: list[str] = []
 
+    def run_text(run) -> str:
+        text = "".join((t.text or "") if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else "" for t in run)
+        style = run.find(f"{_W}rPr")
+        for tag, mark in ((f"{_W}b", "**"), (f"{_W}i", "*")):
+            if text.strip() and style is not None and style.find(tag) is not None:
+                text = f"{mark}{text}{mark}"
+        for picture in run.iter(f"{_A}blip"):
+            about = next((x for x in run.iter() if x.tag.endswith("}docPr")), None)
+            suffix = posixpath.splitext(relations.get(picture.get(f"{_R}embed"), ""))[1].lower()
+            kind = K.IMAGE_TYPES.get(suffix, "image/jpeg")
+            text += f"![{(about.get('descr') or '') if about is not None else ''}](data:{kind};base64...)"
+        return text
+
     def paragraph(p) -> str:
         parts = []
-        for run in p.iter(f"{_W}r"):
-            text = "".join((t.text or "") if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else "" for t in run)
-            style = run.find(f"{_W}rPr")
-            for tag, mark in ((f"{_W}b", "**"), (f"{_W}i", "*")):
-                if text.strip() and style is not None and style.find(tag) is not None:
-                    text = f"{mark}{text}{mark}"
-            parts.append(text)
+        for x in p:
+            if x.tag == f"{_W}hyperlink":
+                text = "".join(map(run_text, x.iter(f"{_W}r")))
+                target = link_target(relations.get(x.get(f"{_R}id"), ""))
+                parts.append(f"[{text.strip()}]({target})" if target and text.strip() else text)
+            else:
+                parts += map(run_text, [x] if x.tag == f"{_W}r" else x.iter(f"{_W}r"))
         return "".join(parts).strip()
 
     for x in body if body is not None else ():
@@ -144,63 +164,83 @@ def sheet_cells(data: bytes) -> list[dict]:
 
 
 def decode_xlsx(data: bytes) -> str:
-    """Each sheet's used range as a table below its name; styled cells in Markdown and spans."""
+    """Each sheet's used range as a table below its name; styled cells in Markdown and spans.
+
+    Rows are written until the content limit is passed, where the text is cut anyway, so that a value in a far cell costs no more.
+    """
     archive = zipfile.ZipFile(io.BytesIO(data))
-    cells = sheet_cells(data)
-    out = []
+    sheets: dict[int, dict[int, dict[int, dict]]] = {}
+    for c in sheet_cells(data):
+        sheets.setdefault(c["sheet_no"], {}).setdefault(c["row"], {})[c["col"]] = c
+
+    def written(c: dict) -> str:
+        text = c["value"].replace("\n", " ")
+        for key, tag in (("underline", "u"), ("italic", "em"), ("bold", "strong")):
+            if c.get(key):
+                text = f"<{tag}>{text}</{tag}>"
+        css = "; ".join(f"{name}: {c[key]}" for key, name in (("font_color", "color"), ("bg_color", "background-color")) if c.get(key))
+        return f'<span style="{css}">{text}</span>' if css else text
+
+    out, size = [], 0
     for k, sheet in enumerate(_xml(archive, "xl/workbook.xml").find(f"{_S}sheets")):
-        own = {(c["row"], c["col"]): c for c in cells if c["sheet_no"] == k}
+        own = sheets.get(k)
         if not own:
             out.append(f"## {sheet.get('name')}\n\nEmpty sheet")
             continue
-        rows, cols = max(r for r, _ in own), max(c for _, c in own)
-        width = [max([5, *(len(c["value"]) + 2 for (_, x), c in own.items() if x == col)]) for col in range(1, cols + 1)]
-
-        def written(c: dict | None) -> str:
-            if c is None:
-                return ""
-            text = c["value"].replace("\n", " ")
-            for key, tag in (("underline", "u"), ("italic", "em"), ("bold", "strong")):
-                if c.get(key):
-                    text = f"<{tag}>{text}</{tag}>"
-            css = "; ".join(f"{name}: {c[key]}" for key, name in (("font_color", "color"), ("bg_color", "background-color")) if c.get(key))
-            return f'<span style="{css}">{text}</span>' if css else text
-
+        widths: dict[int, int] = {}
+        for row in own.values():
+            for col, c in row.items():
+                widths[col] = max(widths.get(col, 5), len(c["value"]) + 2)
+        width = [widths.get(col, 5) for col in range(1, max(widths) + 1)]
+        blank = "|" + "|".join("  ".ljust(w) for w in width) + "|"
         lines = ["|" + "|".join(" " * w for w in width) + "|", "|" + "|".join(":---:".ljust(w) for w in width) + "|"]
-        for r in range(1, rows + 1):
-            lines.append("|" + "|".join(f" {written(own.get((r, c)))} ".ljust(width[c - 1]) for c in range(1, cols + 1)) + "|")
+        size += 2 * len(blank)
+        for r in range(1, max(own) + 1):
+            lines.append("|" + "|".join(f" {written(own[r][c]) if c in own[r] else ''} ".ljust(w) for c, w in enumerate(width, 1)) + "|" if r in own else blank)
+            size += len(lines[-1])
+            if size > K.CONTENT_LIMIT:
+                break
         out.append(f"## {sheet.get('name')}\n\n" + "\n".join(lines))
+        if size > K.CONTENT_LIMIT:
+            break
     return "\n\n".join(out)
 
 
+def _slides(archive: zipfile.ZipFile) -> list[str]:
+    """The slides in the presentation's order, else in that of their numbers."""
+    names = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml$", n)[1]))
+    if "ppt/presentation.xml" in archive.namelist():
+        targets = _relations(archive, "ppt/_rels/presentation.xml.rels")
+        listed = [posixpath.normpath(posixpath.join("ppt", targets.get(x.get(f"{_R}id"), ""))) for x in _xml(archive, "ppt/presentation.xml").iter(f"{_P}sldId")]
+        names = [n for n in listed if n in names] or names
+    return names
+
+
 def decode_pptx(data: bytes) -> str:
-    """Each slide's title, texts, tables and notes after a comment with its number."""
+    """Each slide's title, texts, pictures, tables and notes after a comment with its number."""
     archive = zipfile.ZipFile(io.BytesIO(data))
-    number = lambda name: int(re.search(r"(\d+)\.xml$", name)[1])
-    slides = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number)
-    words = lambda x: "\n".join(filter(None, ("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in x.iter(f"{_A}p"))))
-    out = []
-    for name in slides:
-        parts = [f"<!-- Slide number: {number(name)} -->"]
+    words = lambda x: "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in x.iter(f"{_A}p"))
+    text = ""
+    for k, name in enumerate(_slides(archive), 1):
+        text += f"\n\n<!-- Slide number: {k} -->\n"
         for shape in _xml(archive, name).find(f"{_P}cSld/{_P}spTree"):
-            if shape.tag == f"{_P}sp":
+            if shape.tag == f"{_P}sp" and shape.find(f"{_P}txBody") is not None:
                 kind = shape.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")
-                text = words(shape)
-                if text:
-                    parts.append("# " + text.replace("\n", " ") if kind is not None and kind.get("type") in ("title", "ctrTitle") else text)
+                title = kind is not None and kind.get("type") in ("title", "ctrTitle")
+                text += ("# " + words(shape).lstrip() if title else words(shape)) + "\n"
             elif shape.tag == f"{_P}pic":
                 about = shape.find(f"{_P}nvPicPr/{_P}cNvPr")
-                parts.append(f"![{about.get('descr') or about.get('name')}]({re.sub(r'\W', '', about.get('name') or '')}.jpg)")
+                text += f"\n![{about.get('descr') or about.get('name')}]({re.sub(r'\W', '', about.get('name') or '')}.jpg)\n"
             elif shape.tag == f"{_P}graphicFrame" and (table := shape.find(f".//{_A}tbl")) is not None:
-                parts.append(markdown_rows([[words(c).replace("\n", " ") for c in r.findall(f"{_A}tc")] for r in table.findall(f"{_A}tr")]).rstrip("\n"))
-        notes = f"ppt/notesSlides/notesSlide{number(name)}.xml"
+                rows = [[html.escape(words(c)) for c in r.findall(f"{_A}tc")] for r in table.findall(f"{_A}tr")]
+                tags = ["".join(f"<{tag}>{c}</{tag}>" for c in row) for row, tag in zip(rows, ["th"] + ["td"] * len(rows), strict=False)]
+                text += "\n" + html_to_markdown("<table>" + "".join(f"<tr>{x}</tr>" for x in tags) + "</table>")[1].strip() + "\n"
+        text = text.strip()
+        notes = f"ppt/notesSlides/notesSlide{re.search(r'(\d+)\.xml$', name)[1]}.xml"
         if notes in archive.namelist():
-            for shape in _xml(archive, notes).iter(f"{_P}sp"):
-                kind = shape.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")
-                if kind is not None and kind.get("type") == "body" and words(shape):
-                    parts.append("### Notes:\n" + words(shape))
-        out.append("\n\n".join(parts))
-    return "\n\n".join(out)
+            body = [words(s) for s in _xml(archive, notes).iter(f"{_P}sp") if (kind := s.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")) is not None and kind.get("type") == "body"]
+            text = (text + "\n\n### Notes:\n" + "".join(body[:1])).strip()
+    return text.strip()
 
 
 _STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>")
@@ -272,8 +312,11 @@ _DECODERS = {"text": decode_text, "json": decode_json, "yaml": decode_yaml, "csv
 _CAPPED = {"html", "word", "excel", "ppt", "zip"}
 
 
-def decode(kind: str, data: bytes) -> tuple[str | None, str]:
-    """(title, Markdown or text) of a file of a known format."""
+_TITLED = {"html", "word", "ppt"}
+
+
+def decode(kind: str, data: bytes, path: str | None = None) -> tuple[str | None, str]:
+    """(title, Markdown or text) of a file of a known format; some formats without a title take the stem of the path."""
     if kind == "html":
         title, text = html_to_markdown(data.decode("utf-8", "replace"))
     elif kind == "pdf":
@@ -282,4 +325,6 @@ def decode(kind: str, data: bytes) -> tuple[str | None, str]:
         title, text = None, _DECODERS[kind](data)
     else:
         raise Unsupported(f"no decoder for {kind}")
+    if title is None and path and kind in _TITLED:
+        title = posixpath.splitext(posixpath.basename(path))[0]
     return title, capped(text) if kind in _CAPPED else text

@@ -22,8 +22,9 @@ def test_regions(spark):
 def test_tables_fields_and_structure(spark):
     t = spark.createDataFrame([([[" a ", None], ["1", "2"]],)], "rows array<array<string>>").select(pdf.table_markdown(F.col("rows"))).collect()[0][0]
     assert t == "| a |  |\n|---|---|\n| 1 | 2 |"
-    fields = spark.createDataFrame([(1, 0, "x", "text", ["q"]), (1, 1, "x", "listbox", ["q"]), (1, 2, "x", "text", None)], "doc_id long, ordinal int, name string, kind string, choices array<string>")
-    assert [(r.name, r.choices) for r in pdf.unique_field_names(fields).orderBy("ordinal").collect()] == [("x", None), ("x_1", ["q"]), ("x_2", None)]
+    fields = spark.createDataFrame([(1, 0, "x", 7, ["q"], 2), (1, 1, "x", 4, ["q"], 1), (1, 2, "x", 7, None, 0), (1, 3, "x_1", 0, None, 3)], "doc_id long, ordinal int, name string, type_code int, choices array<string>, flags int")
+    got = [(r.name, r.type, r.choices, r.required, r.read_only) for r in pdf.form_fields(fields).orderBy("ordinal").collect()]
+    assert got == [("x", "text", None, True, False), ("x_1", "listbox", ["q"], False, True), ("x_2", "text", None, False, False), ("x_1_1", "unknown", None, True, True)]
     outline, fonts = spark.createDataFrame([(1, "t")], "doc_id long, title string"), spark.createDataFrame([(1, 0, "B"), (1, 1, "A"), (1, 12, "C"), (2, 0, "Z")], "doc_id long, page_index int, font string")
     assert {(r.doc_id, r.outline_entries, tuple(r.fonts)) for r in pdf.structure(outline, fonts).collect()} == {(1, 1, ("A", "B")), (2, 0, ("Z",))}
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from paperloom.queries import catalog
+from paperloom import queries as catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

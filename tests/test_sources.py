@@ -73,7 +73,7 @@ def test_office_formats():
     assert office.decode("word", DOCX)[1] == "## Title\n\n**bold** text\n\n| A |  |\n|---|---|"
     text = office.decode("excel", XLSX)[1]
     assert text.startswith("## One\n\n|") and '<span style="color: #ff0000"><strong>Name</strong></span>' in text and text.endswith("## Two\n\nEmpty sheet")
-    assert office.decode("ppt", PPTX)[1] == "<!-- Slide number: 1 -->\n\n# First\n\n<!-- Slide number: 2 -->\n\nsecond"
+    assert office.decode("ppt", PPTX)[1] == "<!-- Slide number: 1 -->\n# First\n\n<!-- Slide number: 2 -->\nsecond"
     assert office.pdf_pages(pdf("PAGE_1 (x)".replace("(", "\\(").replace(")", "\\)"), "two")) == ["PAGE_1 (x)", "two"]
     assert office.color_hex("FFFFFFFF") is None and office.color_hex("RGB(1, 2, 255)") == "#0102ff" and office.color_hex("80aabbcc") == "#aabbcc"
 
@@ -157,9 +157,45 @@ def test_incremental(spark, folder, tmp_path):
 def test_command(spark, folder, tmp_path, capsys):
     from paperloom.__main__ import main
 
-    assert main(["convert", folder, "--out", f"{tmp_path}/out", "--split", "2", "--end-page", "2"]) == 2
+    assert main(["convert", folder, "--out", f"{tmp_path}/out", "--split", "2", "--end-page", "1"]) == 2
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"schema_version": "1.0", "status": "partial", "documents": {"complete": 4, "failed": 2}}
-    assert spark.read.parquet(f"{tmp_path}/out/chunks").where("last_page > 2").count() == 0
+    paged = spark.read.parquet(f"{tmp_path}/out/documents").join(spark.read.parquet(f"{tmp_path}/out/pages").where("error IS NULL").select("doc_id").distinct(), "doc_id")
+    assert spark.read.parquet(f"{tmp_path}/out/chunks").join(paged, "doc_id").where("last_page > 2").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/out/blocks").where("page > 2").count() == 0
     assert spark.read.json(f"{tmp_path}/out/markdown").count() == 4
     with pytest.raises(SystemExit):
         main(["convert", folder, "--out", "x", "--split", "0"])
+
+
+def test_command_limits_everything_to_the_range(spark, tmp_path, capsys):
+    from paperloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(pdf(*[f"page {k} of the file" for k in range(1, 6)]))
+    (tmp_path / "in" / "b.txt").write_text("a text has no pages")
+    for name, options, want in (("p", ["--start-page", "1", "--end-page", "2"], [2, 3]), ("l", ["--start-page", "4", "--end-page", "9", "--page-range-mode", "logical", "--strict-page-range"], [4, 5])):
+        assert main(["convert", str(tmp_path / "in"), "--out", f"{tmp_path}/{name}", "--chapter-split", "1", *options]) == 0
+        read = lambda x: spark.read.parquet(f"{tmp_path}/{name}/{x}")  # noqa: B023, E731
+        assert sorted(r.page for r in read("blocks").where("page IS NOT NULL").collect()) == want
+        texts = [r.markdown for r in spark.read.json(f"{tmp_path}/{name}/markdown").collect()]
+        assert any(f"page {want[0]} of" in t for t in texts) and not any("page 1 of" in t for t in texts) and "a text has no pages" in texts
+        chunks_ = sorted((r.first_page, r.last_page) for r in read("chunks").where("last_page < 100").collect())
+        assert chunks_ == ([(2, 2), (3, 3)] if name == "p" else [(4, 5)])
+        assert read("pages").count() == 5
+    capsys.readouterr()
+
+
+def test_deep_pages_and_far_cells():
+    title, text = html_to_markdown("<html><body>" + "<div><b>" * 5000 + "deep" + "</b></div>" * 5000 + "<p>after</p></body></html>")
+    assert title is None and "deep" in text and text.endswith("after")
+    far = XLSX_FAR
+    text = office.decode("excel", far)[1]
+    assert len(text) <= 200_000 + 100 and text.startswith("## One\n\n|")
+    assert [(c["row"], c["col"], c["value"]) for c in office.sheet_cells(far)] == [(1, 1, "near"), (1048576, 16384, "far")]
+
+
+XLSX_FAR = zipped({
+    "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="One" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>near</t></is></c></row><row r="1048576"><c r="XFD1048576" t="inlineStr"><is><t>far</t></is></c></row></sheetData></worksheet>',
+})
