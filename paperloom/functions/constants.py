@@ -16,9 +16,15 @@ IMAGE_TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg",
 # Characters for glyph codes, in the order of replacement.
 CID_CHARACTERS = {16: "〈", 17: "〉", 40: "(", 41: ")", 91: "[", 93: "]", 123: "{", 125: "}", 60: "<", 62: ">", 34: '"', 39: "'", 44: ",", 46: ".", 58: ":", 59: ";", 61: "=", 43: "+", 45: "-", 42: "*", 47: "/", 92: "\\", 124: "|"}
 
-# Names of Greek letters, in the order of replacement; the capitals follow in the same order.
-GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()
-GREEK_SMALL, GREEK_CAPITAL = "αβγδεζηθικλμνξπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΠΡΣΤΥΦΧΨΩ"
+# Commands of Greek letters, in the order of replacement.
+GREEK = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "iota": "ι",
+    "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "upsilon": "υ",
+    "phi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω",
+    "Alpha": "Α", "Beta": "Β", "Gamma": "Γ", "Delta": "Δ", "Epsilon": "Ε", "Zeta": "Ζ", "Eta": "Η", "Theta": "Θ", "Iota": "Ι",
+    "Kappa": "Κ", "Lambda": "Λ", "Mu": "Μ", "Nu": "Ν", "Xi": "Ξ", "Pi": "Π", "Rho": "Ρ", "Sigma": "Σ", "Tau": "Τ", "Upsilon": "Υ",
+    "Phi": "Φ", "Chi": "Χ", "Psi": "Ψ", "Omega": "Ω",
+}
 
 # Mathematical commands, in the order of replacement (a shorter name may come before a longer one).
 MATH = {

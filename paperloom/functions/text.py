@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -40,7 +40,10 @@ def quality_counts(text) -> dict[str, Column]:
 
 def quality_metrics(text, pages=None) -> dict[str, Column]:
     """Unrounded ratios of control, printable and alphanumeric characters, and readable characters a page."""
-    counts = quality_counts(text)
+    return _metrics(quality_counts(text), pages)
+
+
+def _metrics(counts: dict[str, Column], pages=None) -> dict[str, Column]:
     n = F.greatest(counts["n_chars"], F.lit(1)).cast("double")
     pages = F.lit(1) if pages is None else F.when(_column(pages) > 0, _column(pages)).otherwise(1)
     return {
@@ -51,13 +54,24 @@ def quality_metrics(text, pages=None) -> dict[str, Column]:
     }
 
 
-def quality_state(text, pages=None) -> Column:
-    """unreadable, warn or ok, judged on the unrounded metrics."""
-    m = quality_metrics(text, pages)
+def _state(counts: dict[str, Column], m: dict[str, Column]) -> Column:
     bad = (m["control_ratio"] >= 0.30) | (m["printable_ratio"] < 0.60) | (m["alnum_ratio"] < 0.10) | (m["chars_per_page"] < 40)
     poor = (m["control_ratio"] >= 0.12) | (m["printable_ratio"] < 0.85) | (m["alnum_ratio"] < 0.25) | (m["chars_per_page"] < 180)
-    empty = F.coalesce(F.length(_column(text)), F.lit(0)) == 0
-    return F.when(empty | bad, "unreadable").when(poor, "warn").otherwise("ok")
+    return F.when((counts["n_chars"] == 0) | bad, "unreadable").when(poor, "warn").otherwise("ok")
+
+
+def quality_state(text, pages=None) -> Column:
+    """unreadable, warn or ok, judged on the unrounded metrics. For tables of texts see with_quality."""
+    counts = quality_counts(text)
+    return _state(counts, _metrics(counts, pages))
+
+
+def with_quality(documents: DataFrame, text: str = "text", pages: str | None = None) -> DataFrame:
+    """documents with state and the four metrics; the characters of a text are counted once for all of them."""
+    rows = documents.withColumns({f"__{name}": c for name, c in quality_counts(text).items()})
+    counts = {name: F.col(f"__{name}") for name in ("n_chars", "n_control", "n_readable", "n_alnum")}
+    metrics = _metrics(counts, pages)
+    return rows.withColumns({"state": _state(counts, metrics)} | metrics).drop(*[f"__{name}" for name in counts])
 
 
 def cid_ratio(text) -> Column:
@@ -80,9 +94,7 @@ def content_limit(text, limit: int = K.CONTENT_LIMIT) -> Column:
 
 def latex_commands(longest_first: bool = False) -> list[tuple[str, str]]:
     """Literal replacements in their order. longest_first mends commands that begin with another command's name."""
-    greek = [(f"\\{name}", c) for name, c in zip(K.GREEK, K.GREEK_SMALL, strict=True)]
-    greek += [(f"\\{name.capitalize()}", c) for name, c in zip(K.GREEK, K.GREEK_CAPITAL, strict=True)]
-    commands = greek + [(f"\\{name}", c) for name, c in K.MATH.items()]
+    commands = [(f"\\{name}", c) for name, c in [*K.GREEK.items(), *K.MATH.items()]]
     if longest_first:
         commands.sort(key=lambda x: -len(x[0]))
     return [(f"(cid:{code})", c) for code, c in K.CID_CHARACTERS.items()] + commands

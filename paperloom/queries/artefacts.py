@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -483,3 +485,21 @@ def q117(spark, d):
     toc = rows.select("doc_id", F.posexplode(names).alias("seq", "title")).select("doc_id", "seq", F.lit(1).alias("level"), "title", (F.col("seq") * 2 + 1).alias("logical_page"))
     pages = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("page_index")).select("doc_id", "page_index", F.when((F.col("page_index") >= 3) & ((F.col("page_index") - 3) % 2 == 0), F.concat(F.coalesce(F.get(names, F.floor((F.col("page_index") - 3) / 2).cast("int")), F.lit("none")), F.lit(" head"))).otherwise("text").alias("text"))
     return ranges.heuristic_offset(toc, pages).select("doc_id", "page_offset", "matches", F.col("confidence").cast("double").alias("confidence"))
+
+
+# -- streams ----------------------------------------------------------------------------------------------------------------
+
+
+@query("q118_single_flight", "SELECT user_id % 40 AS key, CAST(count(*) AS BIGINT) AS requests, CAST(1 AS BIGINT) AS asked FROM events GROUP BY user_id % 40")
+def q118(spark, d):
+    """A stream of requests, read to its end: of those with one key within the time to live one is asked."""
+    from ..streaming import incremental
+
+    rows = table(spark, d, "events").select((F.col("user_id") % 40).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(f"{d}/events.parque[t]")  # a pattern: it may be a file or a folder
+    asked = incremental.first_in_ttl(stream.select((F.col("user_id") % 40).alias("key"), "ts"), ttl="400 days")
+    name = f"asked_{uuid.uuid4().hex}"
+    # one row for each key: the sink stays small however many requests there are
+    asked.select("key").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    own = spark.table(name).groupBy("key").agg(F.count("*").alias("asked"))
+    return rows.groupBy("key").agg(F.count("*").alias("requests")).join(own, "key").select("key", "requests", "asked")

@@ -33,7 +33,7 @@ def q01(spark, d):
 
 @query("q02_quality_state_by_lang", f"WITH {_COUNTS}, s AS (SELECT lang, {_STATE} AS state FROM counts) SELECT lang, state, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY lang, state")
 def q02(spark, d):
-    return table(spark, d, "documents").select("lang", T.quality_state("text").alias("state")).groupBy("lang", "state").agg(F.count("*").alias("n"))
+    return T.with_quality(table(spark, d, "documents").select("lang", "text")).groupBy("lang", "state").agg(F.count("*").alias("n"))
 
 
 @query("q03_content_limit", "SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || chr(10) || '... [Content truncated]' ELSE text END AS t FROM documents)")
