@@ -27,24 +27,30 @@ from paperloom.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is 0.5 or more; null and empty texts have the score of the prior. All columns and repeated rows stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~is_held_out("doc_id"))
     return keep_good(docs, train_quality(docs, labels))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier line matches; n_chars follows. A null text stays null, identical rows lose the
+    same lines, rows without an id are compared with nothing."""
     kept = drop_repeated_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id, rows without an id last; null and blank texts are one group."""
     return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words less than a twentieth lies in windows of the benchmark; null texts have no words and stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded text of every document; a null text has no tokens. Repeated rows stay."""
     import public_tokenizers
 
     coded = bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
@@ -59,8 +65,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: The stages are not expressible in SQL: a trained model, components of a graph and a tokenizer. They are tested against
-#: brute force in tests/llm.
+#: The stages are not expressible in SQL: a trained model, components of a graph and a tokenizer. tests/llm/test_pipeline.py
+#: compares each with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
