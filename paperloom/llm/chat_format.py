@@ -47,7 +47,8 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     The formatted conversation is the concatenation of its rows by place. Assistant turns are trainable: example e of a
     conversation is the prefix that ends with its e-th assistant turn, and characters loss_start to loss_end of it are its
     target. Turns are ordered by turn, ties by role and text, nulls first; a null role or text counts as empty; a null
-    conversation is a conversation like any other; repeated rows are repeated turns; other columns are ignored.
+    conversation is a conversation like any other; repeated rows are repeated turns; an empty table gives an empty result; ids
+    are of any type; other columns, whatever their names, are ignored. A text is held whole in one task.
     """
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     role, text = _escaped(F.col("role")), _escaped(F.col("text"))

@@ -99,7 +99,9 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     columns (by default `source` and language, and `source`); null counts as a value of its own.
 
     Null and empty texts have no candidates; a row without an id is scanned like any other; repeated rows are repeated in the
-    result; other columns are ignored; an empty table gives an empty result. A text is held whole in one task.
+    result; candidates that begin at the same place come in the order of their kinds; other columns, whatever their names, are
+    ignored; an empty table gives an empty result. A text is held whole in one task. Ids are whole numbers, or text of such;
+    any other id ends the job with Spark's CAST_INVALID_INPUT.
     """
     bounded_batches(documents.sparkSession)
     owner = F.col("source") if owner is None else owner

@@ -61,3 +61,32 @@ def test_inserted_words_against_windowed_containment(spark):
             elif name in got[doc]:
                 assert 5 * len(want & set(own)) >= 4 * len(want)
     assert inside > 30
+
+
+def test_recall_by_containment(spark):
+    """Of notices with changed words, those that hold 0.8 of a template's shingles are found: at least nine of ten at every containment."""
+    r = random.Random(6)
+    shingles = lambda t: [tuple(w[k : k + 5]) for w in [WORD.findall(t.lower())] for k in range(len(w) - 4)]
+    own, rows = [x for x in D.TEMPLATES if len(shingles(x[1])) >= 12], []
+    for k in range(500):
+        name, text = own[k % len(own)]
+        words = text.split()
+        for _ in range(r.randrange(1 + len(words) // 18)):
+            words[r.randrange(len(words))] = f"ch{r.randrange(99)}"
+        if r.random() < 0.4:
+            words = words[: -r.randrange(1, 1 + len(words) // 5)]
+        rows.append((k, " ".join([f"p{r.randrange(9)}" for _ in range(r.randrange(40))] + words + [f"s{r.randrange(9)}" for _ in range(r.randrange(40))]), "", "", 0))
+    got = {x.doc_id: {m.license for m in x["__matches"]} for x in D.scan_licenses(documents(spark, rows), templates=own).collect()}
+    hits, all_ = {}, {}
+    for k, text, *_ in rows:
+        have = set(shingles(text))
+        for name, template in own:
+            want = set(shingles(template))
+            share = len(want & have) / len(want)
+            if share >= 0.8:
+                band = int(share * 20)
+                all_[band] = all_.get(band, 0) + 1
+                hits[band] = hits.get(band, 0) + (name in got[k])
+            elif not any(n == name and len(set(shingles(t)) & have) >= 0.8 * len(set(shingles(t))) for n, t in own):
+                assert name not in got[k], (k, name, share)
+    assert sum(all_.values()) > 250 and all(hits[b] >= 0.9 * all_[b] for b in all_), (hits, all_)

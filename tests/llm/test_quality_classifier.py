@@ -1,7 +1,9 @@
+import math
 import zlib
 
+import numpy as np
 import pandas as pd
-from helpers import DOCUMENTS
+from helpers import DOCUMENTS, corpus
 
 from paperloom.llm import quality_classifier as D
 
@@ -32,3 +34,41 @@ def test_nulls_empty_tables_and_carried_columns(spark):
     assert done.columns == [*docs.columns, "__score"] and scores[0] == scores[1] == scores[3] and all(0 < s < 1 for s in scores)
     assert D.score_quality(docs.limit(0), model).count() == 0
     assert D.train_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).bias == 0
+
+
+def brute_score(model, text):
+    """The score from the model's numbers, feature by feature."""
+    from paperloom.llm._text import mix, word_hashes
+
+    raw, total, n = (text or "").encode(), 0.0, 0
+    words, mask = raw.split(), (1 << 64) - 1
+    value = lambda w: int(word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    hashes = [value(w) for w in words]
+    rows = [h >> 64 - model.bits for h in hashes]
+    rows += [0 if a == b else int(mix(np.array([a * 3 + b & mask], np.uint64))[0]) >> 64 - model.bits for a, b in zip(hashes, hashes[1:])]
+    code = bytes(0x20 if x in (9, 10, 11, 12, 13) else x for x in raw)
+    for k in (3, 4):
+        for p in range(len(code) - k + 1):
+            gram = int.from_bytes(code[p : p + k], "little")
+            rows.append((gram * 0x9E3779B1 + (k * 0x85EBCA6B & 0xFFFFFFFF) & 0xFFFFFFFF) >> 32 - model.bits)
+    total = sum(float(model.weights[r]) for r in rows)
+    n = len(rows) + D.NEUTRAL
+    return 1 / (1 + math.exp(-max(-60, min(60, total / n + model.bias))))
+
+
+def test_scores_against_brute_force(spark):
+    rows = [r[:2] for r in corpus(3, 40)] + [(900, "x" * 200_000), (901, "long " * 30_000), (902, "é\n\tß 中文")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows[:40]], "doc_id long, quality int")
+    model = D.train_quality(docs, labels, max_chars=5000)
+    got = {r.doc_id: r["__score"] for r in D.score_quality(docs, model, carry=["doc_id"]).collect()}
+    for k, text in rows:
+        assert abs(got[k] - brute_score(model, text)) < 1e-6, k
+
+
+def test_longer_texts_than_the_limit_teach_nothing(spark):
+    rows = [(k, "fine words " * 5) for k in range(9)] + [(20 + k, "JUNK " * 9) for k in range(9)]
+    labels = spark.createDataFrame([(k, int(k < 20)) for k, _ in rows] + [(99, 0)], "doc_id long, quality int")
+    docs = lambda more: spark.createDataFrame(rows + more, "doc_id long, text string")
+    one, two = (D.train_quality(docs(x), labels, max_chars=200) for x in ([], [(99, "fine words " * 50)]))
+    assert (one.weights == two.weights).all()

@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from helpers import DOCUMENTS, corpus, stored_tables
 
@@ -47,3 +50,41 @@ def test_shared_values_need_not_look_live(spark):
     docs = spark.createDataFrame([(1, "n 1234567890123456 n", "en", "a"), (2, "n 1234567890123456 n", "en", "b"), (3, "n 6543210987654321 n", "en", "a"), (4, "n abcdefabcdefabcdef n", "en", "a"), (5, "n abcdefabcdefabcdef n", "de", "c")], "doc_id long, text string, lang string, source string")
     got = {r.id: [(x.kind, x.start, x.end, x.repositories, x.owners) for x in r.extra or ()] for r in D.scan_secrets(docs).collect()}
     assert got == {1: [("shared", 2, 18, 2, 2)], 2: [("shared", 2, 18, 2, 2)], 3: [], 4: [("shared", 2, 20, 2, 2)], 5: [("shared", 2, 20, 2, 2)]}
+
+
+def looks_live(v):
+    n = len(v)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(v).values())
+    return n >= 12 and entropy >= 2.5 and any("0" <= c <= "9" for c in v) and any(c > "9" for c in v)
+
+
+def test_all_spans_against_brute_force(spark, tmp_path):
+    r = random.Random(9)
+    values = ["AKIA" + "".join(r.choice("ABCDEFGH12345678") for _ in range(16)) for _ in range(6)] + ["".join(r.choice("0123456789abcdef") for _ in range(20)) for _ in range(6)] + ["1" * 18, "abcdefabcdefabcdef"]
+    texts = [" ".join(r.choice(["é", "word", f"token={r.choice(values)}", r.choice(values), f"Secret: '{r.choice(values)}'", r.choice(values)]) for _ in range(6)) for _ in range(60)]
+    own = [(k, t, r.choice(["en", "de", None]), r.choice(["s0", "s1", "s2", None]), 0) for k, t in enumerate(texts)] + [(k, *x[1:]) for k, x in enumerate(rows(), 200)]
+    found, owners = {}, {}
+    for k, t, lang, source, _ in own:
+        t = t or ""
+        each = [("assign", *m.span(), *m.span(1)) for m in ASSIGN.finditer(t) if len(m[1]) >= 12]
+        each += [("access", *m.span(), *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        each += [("hex", *m.span(), *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        found[k] = each
+        for x in each:
+            owners.setdefault(t[x[3] : x[4]], set()).add(source or "")
+    order = [*D.KINDS, "live", "shared"]
+    want = {}
+    for k, t, *_ in own:
+        spans = [x[:3] for x in found[k]]
+        extra = set()
+        for x in found[k]:
+            value = t[x[3] : x[4]]
+            if len(owners[value]) >= 2:
+                extra.add(("shared", x[3], x[4]))
+            elif looks_live(value):
+                extra.add(("live", x[3], x[4]))
+        both = sorted([*spans, *extra], key=lambda x: (x[1], order.index(x[0]), x[2]))
+        want[k] = ",".join(f"{a}:{b}:{c}" for a, b, c in both)
+    d = stored_tables(spark, tmp_path, documents=(own, DOCUMENTS))
+    assert {x.doc_id: x.spans for x in D.op7_secret_scan(spark, d).collect()} == want
+    assert any("shared" in x for x in want.values()) and any("live" in x for x in want.values())
