@@ -1,6 +1,6 @@
 """Operator 9: quality classification with supervised subword embeddings.
 
-A document is the mean of the learned vectors of its words, word pairs and byte 3- and 4-grams, each hashed to a row of
+A document is the mean of the learned vectors of its words, word pairs and character 3- and 4-grams, each hashed to a row of
 one table; a softmax over the mean gives the class. The table and the softmax are trained by stochastic gradient descent
 in numpy on a bounded sample of labelled documents (by default at most 2 x 2000, the parameters per_class and max_chars).
 Everything else covers all documents: as the model is linear in the mean, the table is folded to one number per row, and
@@ -23,8 +23,22 @@ from ._text import SPACE_WORD, blocks, column_bytes, mix, ranges, word_bounds, w
 _U = np.uint64
 #: Neutral features that each document has besides its own, so that a few words decide little.
 NEUTRAL = 40
-_SPACED = np.arange(256, dtype=np.uint32)
-_SPACED[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
+_STEP = np.uint32(0x01000193)
+
+
+def _characters(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block's texts, white space being blanks, and their bounds. A text that is not UTF-8 counts by bytes."""
+    try:
+        code = np.frombuffer(d.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+        o = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])[o]
+    except UnicodeDecodeError:
+        if len(o) == 2:
+            code = d.astype(np.uint32)
+        else:
+            each = [_characters(d[a:b], np.array([0, b - a]))[0] for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+            code, o = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+    code[(code >= 9) & (code <= 13)] = 0x20
+    return code, o
 
 
 def features(d: np.ndarray, o: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -37,14 +51,15 @@ def features(d: np.ndarray, o: np.ndarray, bits: int) -> list[tuple[np.ndarray,
     inner = np.ones(len(pair), bool)
     inner[words[1:-1][(words[1:-1] > 0) & (words[1:-1] < len(h))] - 1] = False
     out.append((pair[inner].astype(np.int64), np.concatenate([[0], np.cumsum(np.maximum(np.diff(words) - 1, 0))])))
-    code = _SPACED[d]
-    for n in (3, 4):
-        count = np.maximum(np.diff(o) - n + 1, 0)
-        gram = np.zeros(max(0, len(code) - n + 1), np.uint32)
-        for k in range(n):
-            gram |= code[k : len(code) - n + 1 + k] << np.uint32(8 * k)
-        gram = (gram * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - bits)
-        out.append((gram[ranges(o[:-1], count)].astype(np.int64), np.concatenate([[0], np.cumsum(count)])))
+    code, o = _characters(d, o)
+    gram = code.copy()
+    for n in (2, 3, 4):
+        size = max(0, len(code) - n + 1)
+        gram = gram[:size] * _STEP ^ code[n - 1 : n - 1 + size]
+        if n > 2:
+            count = np.maximum(np.diff(o) - n + 1, 0)
+            row = (gram * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - bits)
+            out.append((row[ranges(o[:-1], count)].astype(np.int64), np.concatenate([[0], np.cumsum(count)])))
     return out
 
 

@@ -46,10 +46,12 @@ def brute_score(model, text):
     hashes = [value(w) for w in words]
     rows = [h >> 64 - model.bits for h in hashes]
     rows += [0 if a == b else int(mix(np.array([a * 3 + b & mask], np.uint64))[0]) >> 64 - model.bits for a, b in zip(hashes, hashes[1:])]
-    code = bytes(0x20 if x in (9, 10, 11, 12, 13) else x for x in raw)
+    code = [0x20 if 9 <= ord(x) <= 13 else ord(x) for x in text or ""]
     for k in (3, 4):
         for p in range(len(code) - k + 1):
-            gram = int.from_bytes(code[p : p + k], "little")
+            gram = code[p]
+            for x in code[p + 1 : p + k]:
+                gram = (gram * 0x01000193 & 0xFFFFFFFF) ^ x
             rows.append((gram * 0x9E3779B1 + (k * 0x85EBCA6B & 0xFFFFFFFF) & 0xFFFFFFFF) >> 32 - model.bits)
     total = sum(float(model.weights[r]) for r in rows)
     n = len(rows) + D.NEUTRAL
@@ -72,3 +74,11 @@ def test_longer_texts_than_the_limit_teach_nothing(spark):
     docs = lambda more: spark.createDataFrame(rows + more, "doc_id long, text string")
     one, two = (D.train_quality(docs(x), labels, max_chars=200) for x in ([], [(99, "fine words " * 50)]))
     assert (one.weights == two.weights).all()
+
+
+def test_texts_that_are_not_utf8_score_alike_everywhere():
+    model = D.fit(["good text", "bad!!"], [1, 0])
+    texts = ["plain é".encode(), b"\xff\xfe odd \x80", "中文".encode(), b""]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    alone = [model.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert np.allclose(model.score(data, at), alone, atol=1e-12)
