@@ -5,6 +5,9 @@ A provider with a PDF library fills the tables; the operators here need none. Bo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,23 +58,28 @@ def form_fields(widgets: DataFrame) -> DataFrame:
 
 
 def unique_field_names(fields: DataFrame) -> DataFrame:
-    """fields (doc_id, ordinal, name) with names that no earlier field of the document has; see form_fields."""
-
-    def named(rows):
-        rows = rows.sort_values("ordinal")
-        taken: set[str] = set()
-        out = []
-        for k, name in enumerate(rows["name"]):
-            base = own = name or f"field_{k}"
-            n = 1
-            while own in taken:
-                own = f"{base}_{n}"
-                n += 1
-            taken.add(own)
-            out.append(own)
-        return rows.assign(name=out)
-
-    return fields.groupBy("doc_id").applyInPandas(named, fields.schema)
+    """fields (doc_id, ordinal, name) with names that no earlier field of the document has; see form_fields. The fold streams
+    documents one after the other and remembers the names of one."""
+    at = fields.columns.index("name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, document, taken, k = False, None, set(), 0
+        for batch in batches:
+            names = []
+            for own, name in zip(batch.column("doc_id").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                if not begun or own != document:
+                    begun, document, taken, k = True, own, set(), 0
+                base = unique = name or f"field_{k}"
+                n = 1
+                while unique in taken:
+                    unique = f"{base}_{n}"
+                    n += 1
+                taken.add(unique)
+                names.append(unique)
+                k += 1
+            yield batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))
+
+    return fields.repartition("doc_id").sortWithinPartitions("doc_id", "ordinal").mapInArrow(run, fields.schema)
 
 
 def structure(outline: DataFrame, fonts: DataFrame, documents: DataFrame | None = None, most_pages: int = 10) -> DataFrame:

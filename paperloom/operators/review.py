@@ -6,6 +6,9 @@ captions: page_id, caption_id, bbox, kind, label. All joins are within a page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,47 +231,52 @@ def apply_decisions(regions: DataFrame, decisions: DataFrame, verdicts: DataFram
 # -- what is reviewed -------------------------------------------------------------------------------------------------------
 
 
-def distinct_regions(regions: DataFrame, share: float = 0.98) -> DataFrame:
-    """regions (page_id, region_id, seq, bbox) without those that nearly equal an earlier one that is kept.
+def _kept(rows: DataFrame, columns: list[str], keep) -> DataFrame:
+    """rows that keep(kept so far on the page, *values of the columns) lets pass, page by page in the order of seq: a fold that
+    streams its pages and remembers the kept rows of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, page, kept = False, None, {}
+        for batch in batches:
+            passes = []
+            for own, *values in zip(*[batch.column(c).to_pylist() for c in ("page_id", *columns)], strict=True):
+                if not begun or own != page:
+                    begun, page, kept = True, own, {}
+                passes.append(keep(kept, *values))
+            yield batch.filter(pa.array(passes, pa.bool_()))
+
+    return rows.repartition("page_id").sortWithinPartitions("page_id", "seq").mapInArrow(run, rows.schema)
 
-    Whether a region is kept depends on the kept ones before it, so a page is one group; a page's regions are few.
-    """
 
-    def keep(rows):
-        rows = rows.sort_values("seq")
-        kept: list[int] = []
-        boxes = [list(b) for b in rows["bbox"]]
-        for k, b in enumerate(boxes):
-            for other in (boxes[j] for j in kept):
-                over = max(0.0, min(b[2], other[2]) - max(b[0], other[0])) * max(0.0, min(b[3], other[3]) - max(b[1], other[1]))
-                if over / max(1.0, *((x[2] - x[0]) * (x[3] - x[1]) for x in (b, other))) > share:
-                    break
-            else:
-                kept.append(k)
-        return rows.iloc[kept]
+def _shared_area(a: list[float], b: list[float]) -> float:
+    return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
 
-    return regions.groupBy("page_id").applyInPandas(keep, regions.schema)
+
+def distinct_regions(regions: DataFrame, share: float = 0.98) -> DataFrame:
+    """regions (page_id, region_id, seq, bbox) without those that nearly equal an earlier one that is kept."""
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+
+    def keep(kept: dict, box: list[float]) -> bool:
+        boxes = kept.setdefault("boxes", [])
+        if any(_shared_area(box, o) / max(1.0, area(box), area(o)) > share for o in boxes):
+            return False
+        boxes.append(box)
+        return True
+
+    return _kept(regions, ["bbox"], keep)
 
 
 def distinct_captions(captions: DataFrame) -> DataFrame:
-    """captions (page_id, caption_id, seq, bbox, text) without those with the text of an earlier kept one that they meet.
+    """captions (page_id, caption_id, seq, bbox, text) without those with the text of an earlier kept one that they meet."""
 
-    Whether a caption is kept depends on the kept ones before it, so a page is one group; a page's captions are few.
-    """
+    def keep(kept: dict, box: list[float], text: str | None) -> bool:
+        boxes = kept.setdefault((text or "").strip(), [])
+        if any(_shared_area(box, o) > 0 for o in boxes):
+            return False
+        boxes.append(box)
+        return True
 
-    def keep(rows):
-        rows = rows.sort_values("seq")
-        kept: dict[str, list] = {}
-        stays = []
-        for b, text in zip(rows["bbox"], rows["text"], strict=True):
-            own = kept.setdefault((text or "").strip(), [])
-            meets = any(min(b[2], o[2]) > max(b[0], o[0]) and min(b[3], o[3]) > max(b[1], o[1]) for o in own)
-            stays.append(not meets)
-            if not meets:
-                own.append(b)
-        return rows[stays]
-
-    return captions.groupBy("page_id").applyInPandas(keep, captions.schema)
+    return _kept(captions, ["bbox", "text"], keep)
 
 
 def captions_of_texts(lines: DataFrame) -> DataFrame:
