@@ -73,10 +73,12 @@ def spanning_links(label: np.ndarray, fan: int = 64) -> tuple[np.ndarray, np.nda
 def keep_first(documents: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """documents with one row of each group, all columns as they are; marks has a row (id, text_key, root) for each document, root (never null) naming its group."""
     marks = stored(marks.select("id", "text_key", "root"))
-    keys = marks.groupBy("root", "id", "text_key").agg(F.count("*").alias("n"))
-    best = marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
+    # both sides are stored, so that a large group's rows meet their one best in a plain join of two exchanges, which AQE can split
+    keys = stored(marks.groupBy("root", "id", "text_key").agg(F.count("*").alias("n")))
+    best = stored(marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best")))
     judged = keys.join(best, "root").select("id", "text_key", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))).alias("__stays"))
     others = stored(judged.where("NOT __stays OR n > 1"))
+    discard(marks, keys, best)
     columns = documents.columns
     own = [f"c{k}" for k in range(len(columns))]
     rows = numbered(documents).withColumns({"id": F.col(f"c{columns.index(id_col)}").cast("long"), "text_key": F.xxhash64(f"c{columns.index(text_col)}")})
