@@ -95,18 +95,22 @@ def _emptied(out: dict[str, list]) -> pa.RecordBatch:
     return batch
 
 
-def near_groups(images: DataFrame, most: int = K.NEAR_DUPLICATE_BITS, key: str = "doc_id") -> DataFrame:
+def near_groups(images: DataFrame, most: int = K.NEAR_DUPLICATE_BITS, key: str = "doc_id", first_only: bool = False) -> DataFrame:
     """(key, anchor, member, group_no): the first free image and all later ones near it are a group; groups may share members.
 
+    With first_only, an image that any earlier one is near is no anchor, though no group has it.
     The scan is greedy in the images' order, so it is a fold: it streams the pairs in order and keeps one document's members.
     Copies of a hash are free or taken together, so that the fold runs over distinct hashes, each named by its first image.
     """
     rows = images.where("phash IS NOT NULL").select(F.col(key).cast("long").alias("key"), F.col("ordinal").cast("long").alias("ordinal"), "phash")
     hashes = rows.groupBy("key", "phash").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
     a, b = hashes.select("key", F.col("phash").alias("x"), F.col("first").alias("a")), hashes.select("key", F.col("phash").alias("y"), F.col("first").alias("b"), "last")
-    near = near_hashes(hashes.select("key", "phash"), most).join(a, ["key", "x"]).join(b, ["key", "y"]).where("last > a").select("key", "a", "b")
+    met = near_hashes(hashes.select("key", "phash"), most).join(a, ["key", "x"]).join(b, ["key", "y"]).select("key", "a", "b", "last")
+    near = met.where("last > a").select("key", "a", "b")
     some = near.select("key", "a").union(hashes.where("last > first").select("key", "first")).distinct()  # anchors that have members
     pairs = near.unionByName(some.select("key", "a", F.col("a").alias("b")))
+    if first_only:
+        pairs = pairs.join(met.where("b < a").select("key", "a").distinct(), ["key", "a"], "left_anti")
     found = pairs.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(_greedy, "key long, anchor long, member long")
     copies = rows.join(hashes, ["key", "phash"]).select("key", F.col("first").alias("member"), "ordinal")
     each = found.join(copies, ["key", "member"]).where("ordinal >= anchor").select("key", "anchor", F.col("ordinal").alias("member"))

@@ -93,6 +93,37 @@ def test_near_groups_of_copies(spark):
     assert sorted((r.anchor, r.member) for r in found) == sorted(want)
 
 
+def test_near_groups_of_first_images_only(spark):
+    """Nearness that is no equivalence, with copies: only images that no earlier one is near are anchors."""
+    import random
+
+    r = random.Random(4)
+    values = [(1 << (5 * r.randrange(12))) - 1 for _ in range(30)]
+    near = lambda a, b: bin(values[a] ^ values[b]).count("1") <= 8
+    anchors = [a for a in range(30) if not any(near(a, b) for b in range(a)) and any(near(a, b) for b in range(a + 1, 30))]
+    want = [(a, m) for a in anchors for m in range(a, 30) if near(a, m)]
+    rows = spark.createDataFrame([(1, k, "p", "h", "", "", v) for k, v in enumerate(values)], IMAGES)
+    assert sorted((x.anchor, x.member) for x in images.near_groups(rows, 8, first_only=True).collect()) == sorted(want)
+    assert {x.anchor for x in images.near_groups(rows, 8).collect()} > set(anchors)
+
+
+def test_q36_where_nearness_is_not_transitive(spark, tmp_path):
+    """Images of a document 0, 7, 14 and 21 bits apart from the first: the SQL has one anchor, greedy groups have two."""
+    import duckdb
+
+    from paperloom import queries as catalog
+
+    fall = [7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0, 0.0, 1.0]  # a row of grey values with 7 bits
+    vectors = [[x for row in range(8) for x in (fall if 1 <= row <= n else map(float, range(9)))][:64] for n in range(4)]
+    rows = [(4 * k, v) for k, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, anchor, member, group_no FROM ({catalog.ORACLES['q36_near_dup_groups']})").fetchall())
+    got = catalog.QUERIES["q36_near_dup_groups"](spark, str(tmp_path)).select("doc_id", "anchor", "member", "group_no").collect()
+    assert sorted(map(tuple, got)) == want and {r.anchor for r in got} == {0}
+
+
 def test_near_pairs_against_brute_force(spark):
     import random
 
