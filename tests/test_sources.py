@@ -185,6 +185,19 @@ def test_command_limits_everything_to_the_range(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_q55_titles_cut_within_a_reference(spark, tmp_path):
+    import duckdb
+
+    from paperloom import queries as catalog
+
+    titles = ["none", "Das der&&&amp;&amp", "a &lt; b", "R&D &copy &am", "&amp;amp;"]
+    spark.createDataFrame([(k, f"<html><head><title>{t}</title></head><body>x &amp</body></html>") for k, t in enumerate(titles, 3)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, title FROM ({catalog.ORACLES['q55_html_titles']})").fetchall())
+    assert sorted((r.doc_id, r.title) for r in catalog.QUERIES["q55_html_titles"](spark, str(tmp_path)).collect()) == want
+
+
 def test_deep_pages_and_far_cells():
     title, text = html_to_markdown("<html><body>" + "<div><b>" * 5000 + "deep" + "</b></div>" * 5000 + "<p>after</p></body></html>")
     assert title is None and "deep" in text and text.endswith("after")
