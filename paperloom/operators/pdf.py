@@ -104,7 +104,7 @@ def broken_fonts(fonts: DataFrame) -> DataFrame:
 def image_coverage(images: DataFrame, pages: DataFrame, covered: float = 0.8) -> DataFrame:
     """doc_id, covered_share: the share of pages of which images fill `covered` or more (pages without images count)."""
     area = images.groupBy("doc_id", "page").agg(F.sum(T.box_area("bbox")).alias("__area"))
-    rows = pages.select("doc_id", F.col("page_no").alias("page"), (F.col("width") * F.col("height")).alias("__page")).join(area, ["doc_id", "page"], "left")
+    rows = pages.select("doc_id", F.col("page_no").alias("page"), (F.col("width") * F.col("height")).alias("__page")).join(area.hint("merge"), ["doc_id", "page"], "left")
     share = F.least(F.coalesce(F.col("__area"), F.lit(0.0)) / F.greatest(F.col("__page"), F.lit(1.0)), F.lit(1.0))
     return rows.groupBy("doc_id").agg(F.avg((share >= covered).cast("double")).alias("covered_share"))
 
@@ -114,11 +114,12 @@ def classify_scans(pages: DataFrame, fonts: DataFrame, images: DataFrame) -> Dat
 
     Fewer than 50 characters a page without blanks; glyph codes or broken fonts; images on four of five pages.
     """
-    counts = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("__n")).withColumn("__sample", T.sample_pages("__n"))
-    sample = pages.join(counts, "doc_id").where(F.array_contains("__sample", F.col("page_index")))
+    counted = pages.withColumn("__n", F.count("*").over(Window.partitionBy("doc_id")).cast("int"))
+    sample = counted.where(F.array_contains(T.sample_pages("__n"), F.col("page_index")))
     text = sample.groupBy("doc_id").agg(F.avg(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", ""))).alias("__chars"), F.max(T.cid_ratio("text")).alias("__cid"))
     bad = broken_fonts(fonts).withColumn("__bad", F.lit(True))
     cover = image_coverage(images, sample.select("doc_id", "page_no", "width", "height"))
-    rows = text.join(bad, "doc_id", "left").join(cover, "doc_id", "left")
+    # merged, never broadcast: pages may have been exploded, and are more than the planner thinks
+    rows = text.join(bad.hint("merge"), "doc_id", "left").join(cover.hint("merge"), "doc_id", "left")
     ocr = (F.col("__chars") < 50) | (F.col("__cid") > 0.05) | F.coalesce("__bad", F.lit(False)) | (F.coalesce("covered_share", F.lit(0.0)) >= 0.8)
     return rows.select("doc_id", F.when(ocr, "ocr").otherwise("text").alias("kind"))

@@ -37,6 +37,19 @@ def test_scans(spark):
     assert {(r.doc_id, r.kind) for r in pdf.classify_scans(pages, fonts, pictures).collect()} == {(1, "text"), (2, "ocr"), (3, "ocr"), (4, "ocr"), (5, "ocr")}
 
 
+def test_scans_broadcast_no_exploded_rows(spark, tmp_path):
+    """Twelve pages of documents of a small file, which the planner takes for as few bytes; one document is covered on ten pages."""
+    spark.range(2).selectExpr("id AS doc_id").coalesce(1).write.parquet(f"{tmp_path}/ids")
+    rows = spark.read.parquet(f"{tmp_path}/ids").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("page_index"))
+    pages = rows.selectExpr("doc_id", "page_index", "page_index + 1 AS page_no", "repeat('word ', 30) AS text", "10.0D AS width", "10.0D AS height")
+    pictures = rows.where("page_index < 10").selectExpr("doc_id", "page_index + 1 AS page", "array(0.0D, 0.0D, 10.0D, 9.0D * doc_id) AS bbox")
+    fonts = rows.selectExpr("doc_id", "'Type1' AS subtype", "'' AS encoding", "false AS has_descendant", "true AS has_to_unicode")
+    kinds, cover = pdf.classify_scans(pages, fonts, pictures), pdf.image_coverage(pictures, pages)
+    assert not [x for x in (kinds, cover) if "BroadcastExchange" in x._jdf.queryExecution().toString()]
+    assert {(r.doc_id, r.kind) for r in kinds.collect()} == {(0, "text"), (1, "ocr")}
+    assert {(r.doc_id, r.covered_share) for r in cover.collect()} == {(0, 0.0), (1, 10 / 12)}
+
+
 def test_manifest(spark):
     rows = spark.createDataFrame([(1, "d/page001_img000_raster.png", 0, 4), (1, "d/page000_img001_cluster.png", 0, 4), (1, "x.png", 1, 9)], "doc_id long, path string, chunk_index int, phys_start int")
     found = images.occurrences(rows)
