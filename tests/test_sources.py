@@ -185,6 +185,33 @@ def test_command_limits_everything_to_the_range(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_runs_of_tags_are_read_as_the_parser_reads_them(monkeypatch):
+    """Pages of plain tags in any order, within comments, scripts, attributes and cut-off references, with and without runs."""
+    import random
+    import re
+
+    from paperloom.sources import html_markdown as h
+
+    r = random.Random(5)
+    tags = [f"<{c}{t}>" for t in "div p b ul li table tr td a span section em h2 br pre".split() for c in ("", "/")]
+    others = ["text", " a\n b ", "&amp", "&", "x < y", "<!--", "-->", "<script>", "</script>", '<a href="', '">', "<title>T", "</title>", "<", "</", "<br/>", "<DIV>", "<![CDATA["]
+    pages = ["".join("".join(r.choices(r.sample(tags, 5), k=r.randrange(60)) if r.random() < 0.6 else r.choices(others, k=r.randrange(4))) for _ in range(12)) for _ in range(300)]
+    assert sum(bool(h._RUN.search(x)) for x in pages) > 100
+    got = [h.html_to_markdown(x) for x in pages]
+    monkeypatch.setattr(h, "_RUN", re.compile("(?!)"))
+    assert got == [h.html_to_markdown(x) for x in pages]
+
+
+def test_deep_pages_need_no_parser(monkeypatch):
+    """4000 nested elements go by the parser in a few steps, not one by one."""
+    from html.parser import HTMLParser
+
+    steps = []
+    for name in ("parse_starttag", "parse_endtag"):
+        monkeypatch.setattr(HTMLParser, name, lambda self, i, f=getattr(HTMLParser, name): steps.append(i) or f(self, i))
+    assert html_to_markdown("<div>" * 4000 + "x" + "</div>" * 4000) == (None, "x") and len(steps) < 10
+
+
 def test_q55_titles_cut_within_a_reference(spark, tmp_path):
     import duckdb
 
