@@ -95,7 +95,7 @@ def fit(texts: list[str], labels: list[int], bits: int = 17, width: int = 8, epo
         data, offsets = column_bytes(pa.array([text], pa.large_string()))
         rows = np.concatenate([r for r, _ in features(data, offsets, bits)])
         ids, count = np.unique(rows, return_counts=True)
-        bags.append((ids, (count / (len(rows) + NEUTRAL)).astype(np.float32)))
+        bags.append((ids.astype(np.int32), (count / (len(rows) + NEUTRAL)).astype(np.float32)))
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for k in random.permutation(len(bags)).tolist():
@@ -120,9 +120,10 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     The sample has at most per_class ids of each label, those whose hash is least, and of these the documents of at most
     max_chars characters, whole; the prior is that of all labels. Labels that are null or neither 0 nor 1 and null ids count for nothing.
-    Without usable labels the model is the prior. Ids are whole numbers, or text of such; any other id ends the job with Spark's
+    Without usable labels the model is the prior. One task holds the sample and learns; the driver gets the model only. Ids are whole numbers, or text of such; any other id ends the job with Spark's
     CAST_INVALID_INPUT. The chosen ids are broadcast: 2 x per_class at most.
     """
+    bounded_batches(documents.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL")
     order = F.xxhash64("id", F.lit(9))
     chosen = None
@@ -132,9 +133,20 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
         own = known.where(F.col("label") == label).distinct().orderBy(order, "id").limit(per_class)
         chosen = own if chosen is None else chosen.union(own)
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()  # 2 x per_class rows at most
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"]))
-    return fit([r["text"] for r in rows], [r["label"] for r in rows], prior=prior, **options)
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # 2 x per_class rows at most
+    found = rows.repartition(1).mapInArrow(_fitted(prior, options), "weights binary, bias double, bits int").collect()
+    if not found:
+        return fit([], [], prior=prior, **options)
+    return QualityModel(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"], found[0]["bits"])
+
+
+def _fitted(prior: float, options: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: r[:2])
+        model = fit([r[2] for r in rows], [r[1] for r in rows], prior=prior, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.bits], pa.int32())], names=["weights", "bias", "bits"])
+
+    return run
 
 
 def _scorer(model, n_carried: int):

@@ -36,6 +36,19 @@ def test_nulls_empty_tables_and_carried_columns(spark):
     assert D.train_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).bias == 0
 
 
+def test_texts_do_not_travel_to_the_driver(spark, monkeypatch):
+    rows = [(k, ("good words here " if k % 2 else "BAD!! JUNK!! ") * (1 + k % 5)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    collected, kind = [], type(docs)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: collected.append(self.columns) or collect(self))
+    model = D.train_quality(docs, labels)
+    assert collected and not any("text" in columns for columns in collected)
+    known = D.fit([text for _, text in rows], [k % 2 for k, _ in rows])
+    assert np.allclose(model.weights, known.weights, atol=1e-6) and abs(model.bias - known.bias) < 1e-6 and model.bits == known.bits
+
+
 def brute_score(model, text):
     """The score from the model's numbers, feature by feature."""
     from paperloom.llm._text import mix, word_hashes
